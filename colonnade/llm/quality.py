@@ -62,17 +62,29 @@ def vectors(stats: DataFrame) -> DataFrame:
     return stats.select("*", *(c.alias(n) for c, n in zip(made, DIMS, strict=True)), base_failed().alias("base_failed"))
 
 
-def moments(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Count, mean and covariance (m1.., s11..) by the keys; sums are partial before the shuffle."""
-    pairs = [(i, j) for i in range(5) for j in range(i + 1)]
-    sums = [F.count("*").alias("n"), *(F.sum(d).alias(f"t{i}") for i, d in enumerate(DIMS)), *(F.sum(F.col(DIMS[i]) * F.col(DIMS[j])).alias(f"q{i}{j}") for i, j in pairs)]
-    out = rows.groupBy(*keys).agg(*sums).select(*keys, "n", *((F.col(f"t{i}") / F.col("n")).alias(f"m{i}") for i in range(5)), *(F.col(f"q{i}{j}") for i, j in pairs))
-    return out.select(*keys, "n", *(f"m{i}" for i in range(5)), *((F.greatest(F.col(f"q{i}{j}") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}"), F.lit(0.0)) if i == j else F.col(f"q{i}{j}") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}")).alias(f"s{i}{j}") for i, j in pairs))
+PAIRS = [(i, j) for i in range(5) for j in range(i + 1)]
+KEYS = ("level", "lang", "source")
 
 
-def inverse(est: DataFrame, keys: list[str], grow: float) -> DataFrame:
-    """Centre m0.. and the inverse of the lower Cholesky factor l00.. of the ridged scatter, times grow for the trimmed half."""
-    held = est.select(*keys, "n", *(f"m{i}" for i in range(5)), *((F.col(f"s{i}{j}") * grow + (RIDGE[i] if i == j else 0.0)).alias(f"s{i}{j}") for i in range(5) for j in range(i + 1)))
+def trimmed_moments(held: DataFrame, value: F.Column, share: float) -> DataFrame:
+    """Count, mean and covariance (n, m0.., s00..) by KEYS of the rows in the lowest bins that hold the share of the group, in one pass.
+
+    Sums are kept per bin of the value's log, and partial before the shuffle; then whole bins are added up."""
+    from pyspark.sql import Window
+
+    sums = [F.count("*").alias("n"), *(F.sum(d).alias(f"t{i}") for i, d in enumerate(DIMS)), *(F.sum(F.col(DIMS[i]) * F.col(DIMS[j])).alias(f"q{i}{j}") for i, j in PAIRS)]
+    binned = held.withColumn("bin", F.floor(F.log(value + 1e-9) * BINS)).groupBy(*KEYS, "bin").agg(*sums)
+    per = Window.partitionBy(*KEYS)  # over bins, of which there are under 2,000 a group
+    run = binned.select("*", F.sum("n").over(per.orderBy("bin")).alias("upto"), F.sum("n").over(per).alias("whole"))
+    added = run.where(F.col("upto") - F.col("n") < share * F.col("whole")).groupBy(*KEYS).agg(*(F.sum(c).alias(c) for c in ["n", *(f"t{i}" for i in range(5)), *(f"q{i}{j}" for i, j in PAIRS)]))
+    means = added.select(*KEYS, "n", *((F.col(f"t{i}") / F.col("n")).alias(f"m{i}") for i in range(5)), *((F.col(f"q{i}{j}") / F.col("n")).alias(f"q{i}{j}") for i, j in PAIRS))
+    cov = {(i, j): F.col(f"q{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}") for i, j in PAIRS}
+    return means.select(*KEYS, "n", *(f"m{i}" for i in range(5)), *((F.greatest(c, F.lit(0.0)) if i == j else c).alias(f"s{i}{j}") for (i, j), c in cov.items()))
+
+
+def inverse(est: DataFrame) -> DataFrame:
+    """Centre m0.. and the inverse of the lower Cholesky factor l00.. of the ridged scatter."""
+    held = est.select(*KEYS, "n", *(f"m{i}" for i in range(5)), *((F.col(f"s{i}{j}") + (RIDGE[i] if i == j else 0.0)).alias(f"s{i}{j}") for i, j in PAIRS))
     for i in range(5):  # factor
         for j in range(i + 1):
             rest = reduce(lambda a, k: a - F.col(f"c{i}{k}") * F.col(f"c{j}{k}"), range(j), F.col(f"s{i}{j}"))  # noqa: B023
@@ -80,7 +92,7 @@ def inverse(est: DataFrame, keys: list[str], grow: float) -> DataFrame:
     for i in range(5):  # invert the factor
         for j in range(i + 1):
             held = held.withColumn(f"l{i}{j}", 1 / F.col(f"c{i}{i}") if i == j else -reduce(lambda a, b: a + b, [F.col(f"c{i}{k}") * F.col(f"l{k}{j}") for k in range(j, i)]) / F.col(f"c{i}{i}"))  # noqa: B023
-    return held.select(*keys, "n", *(f"m{i}" for i in range(5)), *(f"l{i}{j}" for i in range(5) for j in range(i + 1)))
+    return held.select(*KEYS, "n", *(f"m{i}" for i in range(5)), *(f"l{i}{j}" for i, j in PAIRS))
 
 
 def distance() -> F.Column:
@@ -89,46 +101,35 @@ def distance() -> F.Column:
     return reduce(lambda a, b: a + b, [p * p for p in parts])
 
 
-def quantile(rows: DataFrame, keys: list[str], value: F.Column, share: float) -> DataFrame:
-    """keys, cut: the least bin whose rows and those below it are the share of the group or more. Bins are those of a fixed grid of the log."""
-    from pyspark.sql import Window
-
-    binned = rows.select(*keys, F.floor(F.log(value + 1e-9) * BINS).alias("cut")).groupBy(*keys, "cut").agg(F.count("*").alias("c"))
-    per = Window.partitionBy(*keys)  # over bins, of which there are under 2,000 a group
-    run = binned.select(*keys, "cut", F.sum("c").over(per.orderBy("cut")).alias("upto"), F.sum("c").over(per).alias("all"))
-    return run.where(F.col("upto") >= share * F.col("all")).groupBy(*keys).agg(F.min("cut").alias("cut"))
-
-
-def estimates(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """The minimum covariance determinant estimate of each group of usable rows (v1..v5), after STEPS concentration steps."""
-    def meet(left: DataFrame, right: DataFrame) -> DataFrame:
-        right = right.withColumnsRenamed({k: f"r_{k}" for k in keys})
-        return left.join(right, reduce(lambda x, y: x & y, [left[k].eqNullSafe(right[f"r_{k}"]) for k in keys]))
-
-    est = None
-    for step in range(STEPS):
-        if est is None:
-            spread = rows.groupBy(*keys).agg(F.count("*").alias("n"), *(F.percentile_approx(d, [0.25, 0.5, 0.75], 1000).alias(f"p{i}") for i, d in enumerate(DIMS)))
-            est = spread.select(*keys, "n", *(F.col(f"p{i}")[1].alias(f"m{i}") for i in range(5)), *((F.pow((F.col(f"p{i}")[2] - F.col(f"p{i}")[0]) / 1.349, 2) if i == j else F.lit(0.0)).alias(f"s{i}{j}") for i in range(5) for j in range(i + 1)))
-            est = inverse(est, keys, 1.0)
-        held = meet(rows, est).select(*keys, *DIMS, distance().alias("_d"))
-        cut = quantile(held, keys, F.col("_d"), HALF)
-        near = meet(held, cut).where(F.floor(F.log(F.col("_d") + 1e-9) * BINS) <= F.col("cut")).select(*keys, *DIMS)
-        est = materialize(inverse(moments(near, keys), keys, 1.0), "estimates")
+def estimates(rows: DataFrame) -> DataFrame:
+    """The minimum covariance determinant estimate of each group (KEYS) of rows with v1..v5, after STEPS concentration steps."""
+    spread = rows.groupBy(*KEYS).agg(F.count("*").alias("n"), *(F.percentile_approx(d, [0.25, 0.5, 0.75], 1000).alias(f"p{i}") for i, d in enumerate(DIMS)))
+    scale = [F.pow((F.col(f"p{i}")[2] - F.col(f"p{i}")[0]) / 1.349, 2) for i in range(5)]
+    est = spread.select(*KEYS, "n", *(F.col(f"p{i}")[1].alias(f"m{i}") for i in range(5)), *((scale[i] if i == j else F.lit(0.0)).alias(f"s{i}{j}") for i, j in PAIRS))
+    est = materialize(inverse(est), "estimates")
+    for _ in range(STEPS):
+        right = est.withColumnsRenamed({k: f"r_{k}" for k in KEYS})
+        held = rows.join(right, reduce(lambda x, y: x & y, [rows[k].eqNullSafe(right[f"r_{k}"]) for k in KEYS]))
+        est = materialize(inverse(trimmed_moments(held.select(*KEYS, *DIMS, distance().alias("d")), F.col("d"), HALF)), "estimates")
     return est
 
 
 def judge(stats: DataFrame) -> DataFrame:
     """vectors(stats), with distance (squared) and kept. stats must be written already, with lang and source."""
     rows = vectors(stats)
-    usable = rows.where("not base_failed").select("lang", "source", F.lit(0).alias("_all"), *DIMS)
-    whole = estimates(usable, ["_all"]).drop("_all", "n")
-    own = estimates(usable, ["lang", "source"]).where(F.col("n") >= HALF * MIN_GROUP).drop("n")
-    fields = [c for c in whole.columns]
-    own = own.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), *(F.col(c).alias(f"o_{c}") for c in fields))
-    both = rows.join(F.broadcast(whole.limit(1)), F.lit(True), "left").join(own, rows["lang"].eqNullSafe(own["_lang"]) & rows["source"].eqNullSafe(own["_source"]), "left")
-    both = both.select(*(rows[c] for c in rows.columns), *(F.coalesce(f"o_{c}", c).alias(c) for c in fields))
-    return both.select(*(rows[c] for c in rows.columns), distance().alias("distance")).withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= LIMIT, F.lit(True)))
+    # level 1 is a row's own group, level 0 all rows together
+    own = F.struct(F.lit(1).alias("level"), "lang", "source")
+    whole = F.struct(F.lit(0).alias("level"), F.lit(None).cast("string").alias("lang"), F.lit(None).cast("string").alias("source"))
+    usable = rows.where("not base_failed").select(F.explode(F.array(own, whole)).alias("g"), *DIMS).select("g.*", *DIMS)
+    est = estimates(usable).where((F.col("level") == 0) | (F.col("n") >= HALF * MIN_GROUP))
+    fields = [c for c in est.columns if c not in (*KEYS, "n")]
+    large = est.where("level = 1").select(F.lit(1).alias("e_level"), F.col("lang").alias("e_lang"), F.col("source").alias("e_source"))
+    rows = rows.join(large, rows["lang"].eqNullSafe(large["e_lang"]) & rows["source"].eqNullSafe(large["e_source"]), "left").select(*(rows[c] for c in rows.columns), F.coalesce("e_level", F.lit(0)).alias("level"))
+    est = est.select(*(F.col(k).alias(f"g_{k}") for k in KEYS), *fields)
+    mine = lambda c: F.when(rows["level"] == 1, rows[c])
+    both = rows.join(est, (rows["level"] == est["g_level"]) & mine("lang").eqNullSafe(est["g_lang"]) & mine("source").eqNullSafe(est["g_source"]), "left")
+    names = [c for c in rows.columns if c != "level"]
+    return both.select(*(rows[c] for c in names), distance().alias("distance")).withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= LIMIT, F.lit(True)))
 
 
 def digest(docs: DataFrame) -> DataFrame:
