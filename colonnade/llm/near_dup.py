@@ -7,10 +7,11 @@ ends inside it. The least point time that each of M registers sees has the weigh
 equal in two documents. Points come in rising time up to a limit that doubles for documents with open registers.
 
 BANDS bands of ROWS registers find candidates: a pair at similarity 0.8 is missed with a chance of 1.3e-7. Documents of
-equal bags are one node. In turns, each bucket's nodes are compared with one pivot, the node that meets most others,
-unless they are in its component already; buckets of one component are done. Once the pairs across components are no more
-than the rows left (or after MAX_TURNS turns), all of these pairs are compared. So every two nodes that share a bucket end in
-one component or have been compared, while a large group of near copies costs a few comparisons a member. A pair is linked if 10 * overlap >= 8 * union of the bags.
+equal bags are one node. In turns, each bucket's nodes are compared with pivots, the node that meets most others and later the
+heaviest of each of PIVOTS parts, unless they are in its component already; buckets of one component are done. Once the pairs
+across components are no more than PIVOTS times the rows left (or after MAX_TURNS turns), all of these pairs are compared. So
+every two nodes that share a bucket end in one component or have been compared, while a large group of near copies costs a few
+comparisons a member. A pair counts in its first shared band only, and is linked if 10 * overlap >= 8 * union of the bags.
 
 Classes are the connected components; class_id is the least doc_id of the class (null doc_ids last). Documents without a word
 (null, empty, signs only) are classes of their own. Repeated rows fall in one class; an empty table gives no row.
@@ -29,8 +30,8 @@ from pyspark.sql import functions as F
 from colonnade.llm.common import ALNUM, Words, bit_filter, fresh_name, has_bit, map_batches, materialize, mix, shingles, text_of
 
 SHINGLE, BANDS, ROWS, M = 5, 40, 5, 200
-#: Turns of comparing with pivots before all pairs that are left are compared.
-MAX_TURNS = 12
+#: Turns of comparing with pivots before all pairs that are left are compared, and the pivots of a bucket from the second turn on.
+MAX_TURNS, PIVOTS = 6, 16
 #: A shingle keeps so many bits of its hash beside its row while a chunk is sorted.
 HASH_BITS = 48
 
@@ -175,34 +176,38 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     full = rows.where("key is not null")
     bags = full.groupBy("key").agg(F.min("jk").alias("jk"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     nodes = materialize(bags.select(F.monotonically_increasing_id().alias("node"), "key", "jk", "n", "bands"), "nodes")
-    spots = nodes.select("node", "n", F.explode("bands").alias("bucket"))
+    spots = nodes.select("node", F.explode("bands").alias("bucket"))
     sizes = spots.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     shared = materialize(spots.join(sizes, "bucket"), "buckets")
     # a node that meets many others is likely the original of a large group
     weights = shared.groupBy("node").agg(F.sum("size").alias("w"))
-    inside = materialize(weights.join(nodes.select("node", "key", "jk"), "node"), "inside")
+    inside = materialize(weights.join(nodes, "node"), "inside")
     bits, size = bit_filter(inside, "jk", inside.count())
-    sets = materialize(inside.join(bag_sets(docs, bits, size), ["jk", "key"]).groupBy("node").agg(F.first("bag").alias("bag")), "bags")
+    sets = materialize(inside.select("node", "key", "jk").join(bag_sets(docs, bits, size), ["jk", "key"]).groupBy("node").agg(F.first("bag").alias("bag")), "bags")
     labels = inside.select("node", F.col("node").alias("comp"))
-    crowd = shared.join(weights, "node").select("bucket", "node", "n", "w")
+    facts = inside.select("node", "n", "w", "bands")
+    buckets = shared.select("bucket", "node")
     for turn in range(MAX_TURNS + 1):
-        parts = crowd.join(labels, "node")
-        pivots = parts.groupBy("bucket").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.max(F.struct("w", "node", "n", "comp")).alias("p")).where("c1 < c2").select("bucket", "p")
-        crowd = materialize(parts.join(pivots, "bucket"), "crowd")
+        placed = buckets.join(labels, "node")
+        mixed = placed.groupBy("bucket").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 < c2").select("bucket")
+        crowd = materialize(placed.join(mixed, "bucket").join(facts, "node"), "crowd")
+        # pairs across components, by way of sums over (bucket, component)
         counts = crowd.groupBy("bucket", "comp").agg(F.count("*").alias("c")).groupBy("bucket").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("same"))
         left = counts.agg(F.sum("n").alias("rows"), F.sum((F.col("n").cast("double") * F.col("n") - F.col("same")) / 2).alias("pairs")).first()
         if not left.rows:
             break
-        last = turn == MAX_TURNS or turn > 0 and left.pairs <= left.rows
-        if last:  # few pairs are left: all of them
-            x, y = (crowd.select("bucket", *(F.col(c).alias(c + s) for c in ("node", "n", "comp"))) for s in "12")
-            pairs = x.join(y, "bucket").where("comp1 < comp2").where(similar_sizes(F.col("n1"), F.col("n2"))).select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b"))
-        else:
-            pairs = crowd.where("comp != p.comp").where(similar_sizes(F.col("n"), F.col("p.n"))).select(F.col("p.node").alias("a"), F.col("node").alias("b"))
-        labels = components(materialize(linked(pairs.distinct(), sets), "links"), labels)
+        last = turn == MAX_TURNS or turn > 0 and left.pairs <= PIVOTS * left.rows
+        me, other = (crowd.select("bucket", *(F.col(c).alias(c + x) for c in ("node", "comp", "n", "w", "bands"))) for x in "12")
+        if not last:  # each with the heaviest of some parts of its bucket
+            part = F.pmod(F.xxhash64("node2", F.lit(turn)), F.lit(PIVOTS if turn else 1))
+            other = other.groupBy("bucket", part.alias("part")).agg(F.max(F.struct("w2", "node2", "comp2", "n2", "bands2")).alias("p")).select("bucket", "p.*")
+        order = F.col("node1") < F.col("node2") if last else F.col("node1") != F.col("node2")
+        met = me.join(other, "bucket").where(order & (F.col("comp1") != F.col("comp2")) & similar_sizes(F.col("n1"), F.col("n2")) & (F.expr("bands1[array_position(zip_with(bands1, bands2, (x, y) -> x = y), true) - 1]") == F.col("bucket")))
+        pairs = met.select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b"))
+        labels = components(materialize(linked(pairs if last else pairs.distinct(), sets), "links"), labels)
         if last:
             break
-        crowd = crowd.select("bucket", "node", "n", F.when(F.col("node") == F.col("p.node"), -1).otherwise(F.col("w")).alias("w"))
+        buckets = crowd.select("bucket", "node")
     # from nodes to rows
     names = nodes.select("node", "key").join(labels, "node", "left").select("key", F.coalesce("comp", "node").alias("comp"))
     placed = materialize(full.select("jk", "doc_id", "key").join(names, "key").select("jk", "doc_id", "comp"), "placed")
