@@ -7,11 +7,11 @@ ends inside it. The least point time that each of M registers sees has the weigh
 equal in two documents. Points come in rising time up to a limit that doubles for documents with open registers.
 
 BANDS bands of ROWS registers find candidates: a pair at similarity 0.8 is missed with a chance of 1.3e-7. Documents of
-equal bags are one node. In turns, each bucket's nodes are compared with pivots, the node that meets most others and later the
-heaviest of each of PIVOTS parts, unless they are in its component already; buckets of one component are done. Once the pairs
-across components are no more than PIVOTS times the rows left (or after MAX_TURNS turns), all of these pairs are compared. So
-every two nodes that share a bucket end in one component or have been compared, while a large group of near copies costs a few
-comparisons a member. A pair counts in its first shared band only, and is linked if 10 * overlap >= 8 * union of the bags.
+equal bags are one node. First each bucket's nodes are compared with a pivot, the node that meets most others, which joins
+a large group of near copies at one comparison a member. Nodes that still share a bucket with another component meet in a
+join on their rarest shingles: two bags that overlap in 0.8 of their union share one of the rarest fifth of each, so early that
+what is left suffices for the overlap. So every two nodes that share a bucket end in one component or have been compared or ruled out
+exactly. A pair is linked if 10 * overlap >= 8 * union of the bags.
 
 Classes are the connected components; class_id is the least doc_id of the class (null doc_ids last). Documents without a word
 (null, empty, signs only) are classes of their own. Repeated rows fall in one class; an empty table gives no row.
@@ -21,6 +21,7 @@ Only doc_id and text are read, so further columns cannot clash.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +31,8 @@ from pyspark.sql import functions as F
 from colonnade.llm.common import ALNUM, Words, bit_filter, fresh_name, has_bit, map_batches, materialize, mix, shingles, text_of
 
 SHINGLE, BANDS, ROWS, M = 5, 40, 5, 200
-#: Turns of comparing with pivots before all pairs that are left are compared, and the pivots of a bucket from the second turn on.
-MAX_TURNS, PIVOTS = 6, 16
+#: Bits of the counts by which shingles are ordered.
+ORDER_BITS = 18
 #: A shingle keeps so many bits of its hash beside its row while a chunk is sorted.
 HASH_BITS = 48
 
@@ -166,6 +167,37 @@ def linked(pairs: DataFrame, bags: DataFrame) -> DataFrame:
     return both.where(10 * shared >= 8 * (F.size("bag_a") + F.size("bag_b") - shared)).select("a", "b")
 
 
+def prefixes(bags: DataFrame) -> DataFrame:
+    """node, comp, n, token, place: the rarest fifth of each bag (node, comp, bag) and one more, in order of rarity. Two bags that overlap in 0.8 of
+    their union share one of these. Any order that is the same for all bags is right; rarity comes from 2^ORDER_BITS counts."""
+    slot = lambda x: (x.view(np.uint64) >> np.uint64(64 - ORDER_BITS)).astype(np.int64)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << ORDER_BITS, np.int64)
+        for batch in batches:
+            total += np.bincount(slot(np.asarray(batch.column(0).flatten())), minlength=1 << ORDER_BITS)
+        at = np.flatnonzero(total)
+        yield pa.record_batch([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=["at", "n"])
+
+    counts = np.zeros(1 << ORDER_BITS, np.int64)
+    for batch in bags.select("bag").mapInArrow(count, "at int, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toArrow().to_batches():
+        counts[np.asarray(batch.column(0))] = np.asarray(batch.column(1))
+    shared = bags.sparkSession.sparkContext.broadcast(counts)  # 2 MB
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(2)
+            values, sizes = np.asarray(column.flatten()), np.diff(np.asarray(column.offsets).astype(np.int64))
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            order = np.lexsort((values, shared.value[slot(values)], row))
+            place = np.arange(len(values)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            keep = np.flatnonzero(place < sizes[row] - (4 * sizes[row] + 4) // 5 + 1)
+            which = row[keep]
+            yield pa.record_batch([batch.column(0).take(pa.array(which)), batch.column(1).take(pa.array(which)), pa.array(sizes[which]), pa.array(values[order][keep]), pa.array(place[keep])], names=["node", "comp", "n", "token", "place"])
+
+    return materialize(bags.select("node", "comp", "bag").mapInArrow(run, "node bigint, comp bigint, n bigint, token bigint, place bigint"), "prefixes")
+
+
 def similar_sizes(n, m) -> F.Column:
     return 10 * F.least(n, m) >= 8 * F.greatest(n, m)
 
@@ -184,30 +216,25 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     inside = materialize(weights.join(nodes, "node"), "inside")
     bits, size = bit_filter(inside, "jk", inside.count())
     sets = materialize(inside.select("node", "key", "jk").join(bag_sets(docs, bits, size), ["jk", "key"]).groupBy("node").agg(F.first("bag").alias("bag")), "bags")
-    labels = inside.select("node", F.col("node").alias("comp"))
-    facts = inside.select("node", "n", "w", "bands")
-    buckets = shared.select("bucket", "node")
-    for turn in range(MAX_TURNS + 1):
-        placed = buckets.join(labels, "node")
-        mixed = placed.groupBy("bucket").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 < c2").select("bucket")
-        crowd = materialize(placed.join(mixed, "bucket").join(facts, "node"), "crowd")
-        # pairs across components, by way of sums over (bucket, component)
-        counts = crowd.groupBy("bucket", "comp").agg(F.count("*").alias("c")).groupBy("bucket").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("same"))
-        left = counts.agg(F.sum("n").alias("rows"), F.sum((F.col("n").cast("double") * F.col("n") - F.col("same")) / 2).alias("pairs")).first()
-        if not left.rows:
-            break
-        last = turn == MAX_TURNS or turn > 0 and left.pairs <= PIVOTS * left.rows
-        me, other = (crowd.select("bucket", *(F.col(c).alias(c + x) for c in ("node", "comp", "n", "w", "bands"))) for x in "12")
-        if not last:  # each with the heaviest of some parts of its bucket
-            part = F.pmod(F.xxhash64("node2", F.lit(turn)), F.lit(PIVOTS if turn else 1))
-            other = other.groupBy("bucket", part.alias("part")).agg(F.max(F.struct("w2", "node2", "comp2", "n2", "bands2")).alias("p")).select("bucket", "p.*")
-        order = F.col("node1") < F.col("node2") if last else F.col("node1") != F.col("node2")
-        met = me.join(other, "bucket").where(order & (F.col("comp1") != F.col("comp2")) & similar_sizes(F.col("n1"), F.col("n2")) & (F.expr("bands1[array_position(zip_with(bands1, bands2, (x, y) -> x = y), true) - 1]") == F.col("bucket")))
-        pairs = met.select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b"))
-        labels = components(materialize(linked(pairs if last else pairs.distinct(), sets), "links"), labels)
-        if last:
-            break
-        buckets = crowd.select("bucket", "node")
+    # first with one pivot a bucket, which settles large groups of near copies
+    facts = inside.select("node", "w", "n")
+    crowd = shared.select("bucket", "node").join(facts, "node")
+    pivots = crowd.groupBy("bucket").agg(F.max(F.struct("w", "node", "n")).alias("p"))
+    pairs = crowd.join(pivots, "bucket").where((F.col("node") != F.col("p.node")) & similar_sizes(F.col("n"), F.col("p.n")))
+    pairs = pairs.select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct()
+    labels = components(materialize(linked(pairs, sets), "links"), inside.select("node", F.col("node").alias("comp")))
+    # then all nodes that still share a bucket with another component
+    placed = shared.select("bucket", "node").join(labels, "node")
+    mixed = placed.groupBy("bucket").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 < c2").select("bucket")
+    rest = materialize(placed.join(mixed, "bucket").select("node", "comp").distinct(), "rest")
+    tokens = prefixes(materialize(sets.join(rest, "node"), "rest_bags"))
+    met = tokens.groupBy("token").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 < c2").select("token")
+    tokens = tokens.join(met, "token")
+    x, y = (tokens.select("token", *(F.col(c).alias(c + i) for c in ("node", "comp", "n", "place"))) for i in "12")
+    most = F.least(F.col("n1") - F.col("place1"), F.col("n2") - F.col("place2"))  # can be shared from the first shared one on
+    close = (F.col("node1") < F.col("node2")) & (F.col("comp1") != F.col("comp2")) & similar_sizes(F.col("n1"), F.col("n2")) & (9 * most >= 4 * (F.col("n1") + F.col("n2")))
+    pairs = x.join(y, "token").where(close).select(F.col("node1").alias("a"), F.col("node2").alias("b")).distinct()
+    labels = components(materialize(linked(pairs, sets), "links"), labels)
     # from nodes to rows
     names = nodes.select("node", "key").join(labels, "node", "left").select("key", F.coalesce("comp", "node").alias("comp"))
     placed = materialize(full.select("jk", "doc_id", "key").join(names, "key").select("jk", "doc_id", "comp"), "placed")
