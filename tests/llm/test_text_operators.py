@@ -428,6 +428,26 @@ def test_scores_prefer_order(spark):
     assert right > wrong + 0.1
 
 
+def test_scores_prefer_order_by_default(spark):
+    rng = random.Random(4)
+    sentence = "the old man and the sea is a short novel written by the author in cuba and it was published late".split()
+    df = frame(spark, [" ".join(sentence * 20) for _ in range(60)])
+    net, counts = lm_score.train(df), lm_score.word_counts(df)
+    mixed = [" ".join(sentence * 20), " ".join(rng.sample(sentence * 20, 400))]
+    right, wrong = (r.mean_log_likelihood for r in sorted(lm_score.score(frame(spark, mixed), net, counts).collect(), key=lambda r: r.doc_id))
+    assert right > wrong + 0.1
+
+
+def test_every_word_is_a_target(spark, monkeypatch):
+    seen, step = [], lm_score.Network.step
+    monkeypatch.setattr(lm_score.Network, "step", lambda self, context, target, rate: (seen.append(len(target)), step(self, context, target, rate)))
+    texts, run = [prose(n) for n in (1, 2, 3, 5, 40)] + ["", None], {}
+    monkeypatch.setattr(type(frame(spark, texts)), "mapInArrow", lambda self, fn, schema: run.setdefault("fn", fn) and self.selectExpr("0 at", "0L v"))
+    lm_score.train(frame(spark, texts), rounds=1)
+    list(run["fn"]([pa.record_batch([pa.array(texts)], names=["text"])]))
+    assert sum(seen) == 51
+
+
 # 10 -----------------------------------------------------------------------------------------------------------------
 
 
