@@ -1,8 +1,12 @@
 r"""Operator 9, language-model scoring by masked pseudo-likelihood.
 
 A window network in numpy predicts every word from the two words on either side, the word itself being masked. Words
-([0-9a-z and all beyond ASCII], A-Z lower-cased) fall in 2^18 slots; log P(word | context) = log P(class | context) from the
-network + log P(slot | class) from counts of the whole corpus. A document's score is the sum over all its words.
+([0-9a-z and all beyond ASCII], A-Z lower-cased) are told apart by hashes of 64 bits; log P(word | context) = log P(class | context)
+from the network + log P(word | class) from exact counts of the whole corpus. A document's score is the sum over all its words.
+
+The counts are a table in the shared folder, with a row for each word, and grow with the corpus. The most frequent words, HEAD at
+most, are broadcast; all other words of the documents meet their counts in a join. Words in no document of the counts
+share the mass of one occurrence in their class.
 
 Counts and training cover every document. Training is local stochastic gradient descent with averaging: in each
 round every partition starts from the same weights and takes every word of its texts as a target; the steps,
@@ -19,16 +23,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colonnade.llm.common import ALNUM, BATCH_ROWS, Words, chunk_rows, map_batches, text_of
+from colonnade.llm.common import ALNUM, BATCH_ROWS, Words, chunk_rows, map_batches, materialize, text_of
 
-#: Slots of words (bits), classes, rows of each context place's embedding, width, words on either side.
-SLOT_BITS, CLASSES, ROWS, WIDTH, SIDE = 18, 64, 2048, 16, 2
+#: Bits of a word's hash, classes, rows of each context place's embedding, width, words on either side.
+SLOT_BITS, CLASSES, ROWS, WIDTH, SIDE = 64, 64, 2048, 16, 2
 #: Rounds of averaging, every how many words one is a training target (1: all), targets a step, rate, and the unit of a summed step.
 ROUNDS, TARGET_STRIDE, BATCH, RATE, UNIT = 2, 1, 1024, 0.4, 1 << 20
 PLACES = 2 * SIDE
+#: Words whose counts are broadcast, distinct words that a counting task holds, and the unit of a summed logarithm.
+HEAD, HELD, LOG_UNIT = 1 << 18, 1 << 20, 1 << 32
 
 
 class Network:
@@ -74,7 +81,7 @@ class Network:
 
 
 def windows(words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """Context rows of every word's window (ROWS beyond a text's ends) and the word's slot."""
+    """Context rows of every word's window (ROWS beyond a text's ends) and the word's class."""
     n = len(words.hashes)
     row = (words.hashes & np.uint64(ROWS - 1)).astype(np.int32)
     first, last = words.rows[words.of], words.rows[words.of + 1]
@@ -83,27 +90,66 @@ def windows(words: Words) -> tuple[np.ndarray, np.ndarray]:
         there = at + step
         inside = (there >= first) & (there < last)
         context[inside, k] = row[there[inside]]
-    return context, (words.hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
-
-
-def word_counts(docs: DataFrame) -> np.ndarray:
-    """How often each slot occurs in all documents: at most 2^SLOT_BITS rows come back."""
+    return context, (words.hashes & np.uint64(CLASSES - 1)).astype(np.int64)
+
+
+class WordCounts:
+    """How often each word occurs: a stored table of word (the hash as a signed number) and n, and its sums for each class."""
+
+    def __init__(self, table: DataFrame) -> None:
+        self.table = table
+        self.total, self.distinct = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
+        level = F.floor(F.log2("n") * 16).cast("int")  # some 1,000 levels at most
+        levels: dict[int, int] = {}
+        for r in table.groupBy(F.pmod("word", F.lit(CLASSES)).cast("int").alias("class"), level.alias("level")).agg(F.count("*").alias("words"), F.sum("n").alias("n")).collect():
+            self.total[r["class"]] += r["n"]
+            self.distinct[r["class"]] += r["words"]
+            levels[r["level"]] = levels.get(r["level"], 0) + r["words"]
+        least, held = None, 0
+        for k in sorted(levels, reverse=True):
+            held += levels[k]
+            if held > HEAD:
+                break
+            least = k
+        self.complete = held <= HEAD
+        head = table.where(level >= least) if least is not None else table.limit(0)
+        got = head.toArrow()
+        words, n = np.asarray(got.column("word")).astype(np.int64).view(np.uint64), np.asarray(got.column("n")).astype(np.int64)
+        order = np.argsort(words)
+        self.words, self.n = words[order], n[order]
+
+    def sum(self) -> int:
+        return int(self.total.sum())
+
+
+def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    words, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(words, kind="stable")
+    words, n = words[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], words[1:] != words[:-1]])) if len(words) else np.zeros(0, np.int64)
+    return words[first], np.add.reduceat(n, first) if len(first) else n
+
+
+def word_counts(docs: DataFrame) -> WordCounts:
+    """How often each word occurs in all documents."""
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << SLOT_BITS, np.int64)
+        parts, size = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))], 0
+        out = lambda words, n: pa.record_batch([pa.array(words.view(np.int64)), pa.array(n)], names=["word", "n"])
         for batch in batches:
             for lo, hi in chunk_rows(batch):
-                slots = (Words(batch.column(0).slice(lo, hi - lo), ALNUM).hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
-                total += np.bincount(slots, minlength=1 << SLOT_BITS)
-        at = np.flatnonzero(total)
-        yield pa.record_batch([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["slot", "n"])
+                parts.append(np.unique(Words(batch.column(0).slice(lo, hi - lo), ALNUM).hashes, return_counts=True))
+                size += len(parts[-1][0])
+                if size > HELD:
+                    parts = [merged(parts)]
+                    size = len(parts[0][0])
+                    if size > HELD // 2:
+                        yield out(*parts[0])
+                        parts, size = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))], 0
+        yield out(*merged(parts))
 
-    summed = text_of(docs, "text").mapInArrow(run, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n"))
-    out = np.zeros(1 << SLOT_BITS, np.int64)
-    for batch in summed.toArrow().to_batches():
-        out[np.asarray(batch.column(0))] = np.asarray(batch.column(1))
-    return out
+    return WordCounts(materialize(text_of(docs, "text").mapInArrow(run, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")), "words"))
 
 
 def train(docs: DataFrame, rounds: int = ROUNDS, stride: int = TARGET_STRIDE) -> Network:
@@ -116,11 +162,11 @@ def train(docs: DataFrame, rounds: int = ROUNDS, stride: int = TARGET_STRIDE) ->
             own, seen, start = Network(flat.value.copy()), 0, k % stride  # noqa: B023
             for batch in batches:
                 for lo, hi in chunk_rows(batch):
-                    context, slot = windows(Words(batch.column(0).slice(lo, hi - lo), ALNUM))
-                    context, slot = context[start::stride], slot[start::stride]
-                    for a in range(0, len(slot), BATCH):
-                        own.step(context[a : a + BATCH], slot[a : a + BATCH] % CLASSES, rate)  # noqa: B023
-                    seen += len(slot)
+                    context, target = windows(Words(batch.column(0).slice(lo, hi - lo), ALNUM))
+                    context, target = context[start::stride], target[start::stride]
+                    for a in range(0, len(target), BATCH):
+                        own.step(context[a : a + BATCH], target[a : a + BATCH], rate)  # noqa: B023
+                    seen += len(target)
             moved = np.rint((own.flat - flat.value).astype(np.float64) * UNIT).astype(np.int64) * seen  # noqa: B023
             at = np.flatnonzero(moved)
             yield pa.record_batch([pa.array(np.append(at, -1), pa.int32()), pa.array(np.append(moved[at], seen), pa.int64())], names=["at", "v"])
@@ -137,29 +183,70 @@ def train(docs: DataFrame, rounds: int = ROUNDS, stride: int = TARGET_STRIDE) ->
     return net
 
 
-def inside_class(counts: np.ndarray) -> np.ndarray:
-    """log P(slot | class), smoothed by one."""
-    by = (counts + 1).reshape(-1, CLASSES).astype(np.float64)
-    return np.log(by / by.sum(axis=0)).ravel().astype(np.float32)
+class Inside:
+    """log P(word | class) of the words at hand, smoothed by one, and each class's value for a word without a count."""
+
+    def __init__(self, words: np.ndarray, n: np.ndarray, mass: np.ndarray, complete: bool) -> None:
+        self.words, self.complete, self.unseen = words, complete, -np.log(mass)
+        self.logs = np.log(n + 1.0) + self.unseen[(words & np.uint64(CLASSES - 1)).astype(np.int64)]
+
+    def of(self, words: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The logarithms, and which words have to be looked up in the table; these have 0."""
+        if not len(self.words):
+            here = np.zeros(len(words), bool)
+            at = np.zeros(len(words), np.int64)
+        else:
+            at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
+            here = self.words[at] == words
+        logs = self.unseen[target] if self.complete else np.zeros(len(words))
+        logs[here] = self.logs[at[here]]
+        return logs, np.zeros(len(words), bool) if self.complete else ~here
 
+    def __getitem__(self, word: int) -> float:
+        logs, away = self.of(np.array([word], np.uint64), np.array([word % CLASSES]))
+        if away[0]:
+            raise KeyError(word)
+        return float(logs[0])
 
-def score(docs: DataFrame, net: Network, counts: np.ndarray) -> DataFrame:
+
+def inside_class(counts: WordCounts) -> Inside:
+    return Inside(counts.words, counts.n, counts.total + counts.distinct + 1.0, counts.complete)
+
+
+def score(docs: DataFrame, net: Network, counts: WordCounts) -> DataFrame:
     """doc_id, n_words, log_likelihood and mean_log_likelihood of every row."""
-    model = docs.sparkSession.sparkContext.broadcast((net.flat, inside_class(counts)))  # about 1.5 MB, whatever the input
+    inside = inside_class(counts)
+    model = docs.sparkSession.sparkContext.broadcast((net.flat, inside))  # about 5 MB, whatever the input
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        words = Words(batch.column(1), ALNUM)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, within = Network(model.value[0]), model.value[1]
-        context, slot = windows(words)
-        each = np.zeros(len(slot))
-        for a in range(0, len(slot), 8192):
-            each[a : a + 8192] = own.log_probs(context[a : a + 8192], slot[a : a + 8192] % CLASSES)
-        each += within[slot]
-        n = np.diff(words.rows)
-        total = np.bincount(words.of, each, minlength=batch.num_rows)
-        return pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(total, pa.float64()), pa.array(total / np.maximum(n, 1), pa.float64(), mask=n == 0)], names=["doc_id", "n_words", "log_likelihood", "mean_log_likelihood"])
-
-    return map_batches(text_of(docs, "doc_id", "text"), run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words bigint, log_likelihood double, mean_log_likelihood double")
+        row = TaskContext.get().partitionId() << 40
+        for whole in batches:
+            for lo, hi in chunk_rows(whole):
+                batch = whole.slice(lo, hi - lo)
+                words = Words(batch.column(1), ALNUM)
+                context, target = windows(words)
+                each, away = within.of(words.hashes, target)
+                for a in range(0, len(target), 8192):
+                    each[a : a + 8192] += own.log_probs(context[a : a + 8192], target[a : a + 8192])
+                rest = np.concatenate([[0], np.cumsum(away)])[words.rows]
+                lists = pa.ListArray.from_arrays(pa.array(rest, pa.int32()), pa.array(words.hashes[away].view(np.int64)))
+                total = np.bincount(words.of, each, minlength=batch.num_rows)
+                yield pa.record_batch([batch.column(0), pa.array(row + np.arange(batch.num_rows)), pa.array(np.diff(words.rows), pa.int64()), pa.array(total, pa.float64()), lists], names=["doc_id", "row", "n_words", "ll", "rest"])
+                row += batch.num_rows
+
+    part = text_of(docs, "doc_id", "text").mapInArrow(run, f"doc_id {kind}, row bigint, n_words bigint, ll double, rest array<bigint>")
+    ll = F.col("ll")
+    if not inside.complete:
+        part = materialize(part, "scores")  # rows have their numbers once
+        unseen = F.element_at(F.array(*map(F.lit, inside.unseen.tolist())), F.pmod("word", F.lit(CLASSES)).cast("int") + 1)
+        log = F.log(F.coalesce("n", F.lit(0)) + F.lit(1.0)) + unseen
+        looked = part.select("row", F.explode("rest").alias("word")).join(counts.table, "word", "left").select("row", F.round(log * LOG_UNIT).cast("bigint").alias("v"))
+        part = part.drop("rest").join(looked.groupBy("row").agg(F.sum("v").alias("v")), "row", "left")
+        ll = ll + F.coalesce("v", F.lit(0)) / F.lit(float(LOG_UNIT))
+    return part.select("doc_id", "n_words", ll.alias("log_likelihood"), F.when(F.col("n_words") > 0, ll / F.col("n_words")).alias("mean_log_likelihood"))
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -448,6 +448,32 @@ def test_every_word_is_a_target(spark, monkeypatch):
     assert sum(seen) == 51
 
 
+def test_scores_count_words_exactly(spark, monkeypatch):
+    seen, pair, k = {}, None, 0
+    while pair is None:  # two words of one class whose hashes agree in the first 18 bits
+        h = int(common.Words(pa.array([f"word{k}"]), common.ALNUM).hashes[0])
+        pair = (seen[h >> 46, h & 63], f"word{k}") if (h >> 46, h & 63) in seen else None
+        seen[h >> 46, h & 63] = f"word{k}"
+        k += 1
+    texts = [f"{pair[0]} " * 500, pair[1], *(prose(300) for _ in range(20)), f"{pair[1]} newword {pair[0]}", None, ""]
+    df, net = frame(spark, texts), lm_score.Network()
+    counts = lm_score.word_counts(df)
+    exact = Counter(w for t in texts for w in words(t))
+    hashes = {w: int(common.Words(pa.array([w]), common.ALNUM).hashes[0]) for w in exact}
+    assert {r.word % 2**64: r.n for r in counts.table.collect()} == {hashes[w]: n for w, n in exact.items()}
+    inside = lm_score.inside_class(counts)
+    assert abs(inside[hashes[pair[0]]] - inside[hashes[pair[1]]] - math.log(502 / 3)) < 1e-9
+    odd = frame(spark, [*texts, "neverseen before", texts[3]])
+    want = sorted(map(tuple, lm_score.score(odd, net, counts).collect()))
+    for head in (0, 40):  # words beyond the head come from the join, with the same scores
+        monkeypatch.setattr(lm_score, "HEAD", head)
+        small = lm_score.WordCounts(counts.table)
+        assert not small.complete and len(small.words) <= head
+        got = sorted(map(tuple, lm_score.score(odd, net, small).collect()))
+        assert [x[:2] for x in got] == [x[:2] for x in want]
+        assert all(abs(x[2] - y[2]) < 1e-6 * max(1, x[1]) for x, y in zip(got, want, strict=True))
+
+
 # 10 -----------------------------------------------------------------------------------------------------------------
 
 
