@@ -506,6 +506,20 @@ def test_toxicity_of_labelled_rows(spark):
     assert sum(got[i] for i, t in truth.items() if i in got and not t) <= 0.02 * sum(not t for t in truth.values())
 
 
+def test_toxicity_keeps_words_of_no_clean_row(spark):
+    rng = random.Random(12)
+    rows, labels, slurs = [], [], [f"xq{c}zslur" for c in "abcdefghijklmnopqrstuvwxyz"]
+    for i in range(1200):
+        toxic = i % 2
+        rows.append((i, prose(40, rng) + (" " + slurs[i // 2 % 26]) * toxic))  # each in 4 % of the toxic rows
+        labels.append((i, 1, toxic))
+    model = toxicity.train(frame(spark, rows[:1000]), spark.createDataFrame(labels[:1000], "doc_id long, quality int, toxic int"))
+    got = {r.doc_id: r.toxic for r in toxicity.score_toxicity(frame(spark, rows), model).collect()}
+    for ids in (range(1000), range(1000, 1200)):
+        assert sum(got[i] for i in ids if i % 2) >= 0.95 * len(ids) / 2
+        assert sum(got[i] for i in ids if not i % 2) <= 0.02 * len(ids) / 2
+
+
 # -- -----------------------------------------------------------------------------------------------------------------
 
 
