@@ -27,8 +27,11 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 OPERATOR = re.compile(r"=>|:=|(?<![=!<>:])[=:](?![=:])")
 NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_.-]*\Z")
-VALUE = re.compile(r"""[\x20\t]*(?:"([^"\\\n]{1,512})"|'([^'\\\n]{1,512})'|([^\s"'`,;(){}\[\]<>]{1,512}))""")
-JOINED = re.compile(r"""[\x20\t]*[+.][\x20\t]*(?:"([^"\\\n]{1,512})"|'([^'\\\n]{1,512})')""")
+#: Quoted literals hold escapes; the runs are possessive, so that a missing end is found in one pass.
+QUOTED = r"""(?:"((?:[^"\\\n]|\\[^\n])++)"|'((?:[^'\\\n]|\\[^\n])++)')"""
+VALUE = re.compile(r"[\x20\t]*" + QUOTED)
+BLANK, BARE = re.compile(r"[\x20\t]*"), re.compile(r"""[^\s"'`,;(){}\[\]<>]*""")
+JOINED = re.compile(r"[\x20\t]*[+.][\x20\t]*" + QUOTED)
 IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_.-]*")
 #: How strongly a part of a name says that its value is secret.
 SENSITIVE = {"password": 1.0, "passwd": 1.0, "pwd": 0.9, "pass": 0.7, "passphrase": 1.0, "secret": 1.0, "token": 0.9, "apikey": 1.0, "credential": 0.9, "credentials": 0.9, "auth": 0.6, "bearer": 0.8, "private": 0.5, "access": 0.4, "key": 0.5, "signing": 0.4, "api": 0.4, "client": 0.1}
@@ -54,17 +57,23 @@ def literal_score(value: str) -> float:
 
 def lex(text: str) -> list[tuple[str, str, list[tuple[int, int]], str | None]]:
     """(name, literal, spans, name that it is set to) for each assignment in text."""
-    pairs = []
+    pairs, run = [], 0  # the end of the last unquoted run, which all that begin within it share
     for op in OPERATOR.finditer(text):
         at = op.start()
         left = text[max(0, at - MAX_NAME - 8) : at].rstrip(" \t")
         left = left[:-1] if left[-1:] in ('"', "'") else left
         name = NAME.search(left[-MAX_NAME:].replace("[", " ").split(" ")[-1].split("\n")[-1].lstrip("\"'${("))
-        value = VALUE.match(text, op.end())
-        if not name or not value:
+        if not name:
             continue
-        kind = value.lastindex
-        literal, spans = value.group(kind), [value.span(kind)]
+        if value := VALUE.match(text, op.end()):
+            kind = value.lastindex
+            literal, spans = value.group(kind), [value.span(kind)]
+        else:
+            start, kind = BLANK.match(text, op.end()).end(), 3
+            run = run if start < run else BARE.match(text, start).end()
+            if run == start:
+                continue
+            literal, spans = text[start:run], [(start, run)]
         if kind < 3:
             end = value.end()
             while more := JOINED.match(text, end):

@@ -106,6 +106,17 @@ def test_secrets_follow_assignments(text, secret):
     assert secret in found if secret else not found
 
 
+@pytest.mark.parametrize("size", [40, 512, 513, 5000])
+@pytest.mark.parametrize("form", ['private_key = "{}"', "bearer: '{}'", "credentials={}", 'x = "{}"\npassphrase = x', 'passphrase = "a" + "{}"', 'auth_token_pwd = "ab\\"{}"'])
+def test_secrets_of_any_length(form, size):
+    rng = random.Random(size)
+    secret = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(size)).replace("x", "y").replace("X", "Y")
+    text = form.format(secret) + " end"
+    at = text.index(secret)
+    assert any(s <= at and e >= at + size and k == "literal" for s, e, k in secrets.find_spans(text))
+
+
+
 # 2 ------------------------------------------------------------------------------------------------------------------
 
 
