@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -10,9 +11,11 @@ from pyspark.sql import SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, which driver and executors share, or a folder of this session where it is unset (as in tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.colonnade.work", None)
+    """spark.checkpoint.dir, which driver and executors share. Where it is unset, a folder of this session, in local mode only: no other process could see it."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.colonnade.work", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is unset: on a cluster it must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="colonnade-work-")
         spark.conf.set("spark.colonnade.work", found)
     return found.rstrip("/")
