@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,6 +9,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from colonnade import storage
 
 #: Characters of text that one vectorised step works on; bounds a worker's memory.
 CHUNK_BYTES = 2_000_000
@@ -19,36 +19,28 @@ CHUNK_BYTES = 2_000_000
 BATCH_ROWS = 1_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where it is unset."""
-    set_to = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.colonnade.dir", None)
-    if not set_to:
-        set_to = "file://" + tempfile.mkdtemp(prefix="colonnade-")
-        spark.conf.set("spark.colonnade.dir", set_to)
-    return set_to.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; it is removed when the session's process ends."""
-    path = f"{shared_dir(spark)}/colonnade-{uuid.uuid4().hex}-{name}"
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Cut the lineage: write to the shared folder as Parquet and read it again."""
+    path = storage.fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
 
-    def remove() -> None:
-        try:
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(conf).delete(where, True)
-        except Exception:  # the JVM has gone
-            pass
 
-    atexit.register(remove)
-    return path
+def discard(df: DataFrame | None) -> None:
+    """Delete a table of materialize() that nothing reads any more."""
+    if df is not None:
+        storage.delete(df.sparkSession, df._written)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write to the shared folder as Parquet and read it again."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def row_marks(df: DataFrame, *columns: str) -> tuple[F.Column, F.Column]:
+    """Two hashes of the columns (all of them if none is named), 128 bits together: rows that agree in both are equal in these columns."""
+    fields = [f for f in df.schema if not columns or f.name in columns]
+    values = [F.map_entries(df[f"`{f.name}`"]) if isinstance(f.dataType, T.MapType) else df[f"`{f.name}`"] for f in fields]
+    # a null leaves a hash as it is, so the nulls' places are hashed too
+    nulls = F.concat(*(F.when(v.isNull(), "1").otherwise("0") for v in values))
+    return F.xxhash64(nulls, *values), F.xxhash64(F.lit(1), nulls, *values)
 
 
 def fresh_name(taken: list[str], base: str) -> str:

@@ -5,8 +5,9 @@ a pattern (an item of fewer words, but not none, is one). The search reads words
 table over hashed blocks of two words says how far to skip, blocks that end a pattern lead to a bucket of patterns,
 and a comparison of the words themselves confirms an occurrence.
 
-The patterns go to every task only while the benchmark has at most max_words words; beyond that a join of window
-hashes, followed by the same comparison on whole windows, gives the same rows.
+The patterns go to every task in blocks of at most max_words words or so: a larger benchmark takes a search for each block.
+`contaminated` asks for two items; decontaminate() drops a document that holds a window of one, since eight words in a row
+of a benchmark item are a leak wherever they stand and clean texts hold none.
 
 Null text has no words; its row has zeros and the hash of the empty string. Repeated rows give repeated results; an
 empty documents table gives no row; an empty benchmark hits nothing; a null item_id is left out of items_sha256 but
@@ -16,19 +17,20 @@ counted. Only the named columns are read.
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colonnade.llm.common import ALNUM, Words, map_batches, materialize, mix, text_of
+from colonnade.llm.common import ALNUM, Words, fresh_name, map_batches, materialize, mix, row_marks, text_of
 
 WINDOW, BLOCK, TABLE_BITS = 8, 2, 20
-#: The largest benchmark, in words, whose patterns are sent to every task (some 200 bytes a word).
+#: The most words of a benchmark whose patterns are sent to every task at once (some 200 bytes a word).
 MAX_WORDS = 400_000
-#: Contaminated from so many items on.
-MIN_ITEMS = 2
+#: `contaminated` from so many items on; a document leaves the corpus from so many items on.
+MIN_ITEMS, DROP_ITEMS = 2, 1
 
 
 class WuManber:
@@ -99,27 +101,42 @@ def compile_patterns(items: list[tuple[int, str]]) -> list[WuManber]:
     return [WuManber(m, p) for m, p in sorted(by_length.items())]
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, max_words: int = MAX_WORDS) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items and item_ids (sorted strings) of every document."""
+def blocks_of(benchmark: DataFrame, max_words: int) -> list[DataFrame]:
+    """The benchmark's rows with a text, in blocks of about max_words words (an item is not split) and 16 bytes a word at most."""
     bench = text_of(benchmark, "item_id", "text").where("text is not null")
-    n_words = bench.agg(F.sum(F.size(F.split("text", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")))).first()[0] or 0
-    if n_words > max_words:
-        return by_join(docs, bench)
+    size = bench.agg(F.sum(F.size(F.split("text", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"))).alias("n"), F.sum(F.octet_length("text")).alias("b")).first()
+    n = -(-max(size.n or 0, (size.b or 0) // 16) // max(1, max_words)) if size.n else 1
+    return [bench] if n <= 1 else [bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(2 * n)) == k) for k in range(2 * n)]
+
+
+def patterns_of(bench: DataFrame) -> tuple[list[WuManber], list[str | None]]:
+    """The searchers of one block, and the name of each item number; item numbers are distinct item_ids."""
     rows = [(r.item_id, r.text) for r in bench.collect()]
-    ids = sorted({r[0] for r in rows if r[0] is not None}) + ([None] if any(r[0] is None for r in rows) else [])
-    place = {x: i for i, x in enumerate(ids)}
-    names = [None if x is None else str(x) for x in ids]
-    searchers = compile_patterns([(place[i], t) for i, t in rows])
+    place = {x: i for i, x in enumerate(dict.fromkeys(r[0] for r in rows))}
+    return compile_patterns([(place[i], t) for i, t in rows]), [None if x is None else str(x) for x in place]
+
+
+def search_rows(searchers: list[WuManber], column: pa.Array) -> tuple[Words, np.ndarray, list[set[int]]]:
+    """The words of the texts, a mark on each hit word, and each row's item numbers."""
+    words = Words(column, ALNUM)
+    low, hit, items = lowered(words), np.zeros(len(words.hashes), bool), [set() for _ in range(len(column))]
+    for searcher in searchers:
+        marks, found = searcher.search(words, low)
+        hit |= marks
+        for row, which in found:
+            items[row] |= which
+    return words, hit, items
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, max_words: int = MAX_WORDS) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items and item_ids (sorted strings) of every document."""
+    blocks = blocks_of(benchmark, max_words)
+    if len(blocks) > 1:
+        return by_blocks(docs, blocks)
+    searchers, names = patterns_of(blocks[0])
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        words = Words(batch.column(1), ALNUM)
-        low = lowered(words)
-        hit, items = np.zeros(len(words.hashes), bool), [set() for _ in range(batch.num_rows)]
-        for searcher in searchers:
-            marks, found = searcher.search(words, low)
-            hit |= marks
-            for row, which in found:
-                items[row] |= which
+        words, hit, items = search_rows(searchers, batch.column(1))
         total = np.concatenate([[0], np.cumsum(hit)])
         n_hit = total[words.rows[1:]] - total[words.rows[:-1]]
         ids = [sorted(names[i] for i in x if names[i] is not None) for x in items]
@@ -128,19 +145,28 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, max_words: int = M
     return map_batches(text_of(docs, "doc_id", "text"), run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words bigint, n_hit bigint, n_items bigint, item_ids array<string>")
 
 
-def by_join(docs: DataFrame, bench: DataFrame) -> DataFrame:
-    """The way for benchmarks of any size: windows meet in a join on their text."""
-    words = lambda c: F.filter(F.split(F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), lambda x: x != "")
-    base = text_of(docs, "doc_id", "text").select(F.monotonically_increasing_id().alias("r"), "doc_id", F.coalesce(words(F.col("text")), F.array().cast("array<string>")).alias("w"))
-    base = materialize(base, "words")
-    items = bench.select("item_id", words(F.col("text")).alias("w")).where(F.size("w") > 0)
-    pattern = items.select("item_id", F.explode(F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - WINDOW, F.lit(0))), lambda i: F.concat_ws(" ", F.slice("w", i + 1, F.lit(WINDOW))))).alias("p"), F.least(F.size("w"), F.lit(WINDOW)).alias("m")).distinct()
-    lengths = [r.m for r in pattern.select("m").distinct().collect()] or [WINDOW]  # at most WINDOW of them
-    spots = base.select("r", "w", F.explode(F.array(*map(F.lit, lengths))).alias("m")).where(F.size("w") >= F.col("m")).select("r", "m", F.posexplode(F.expr("transform(sequence(0, size(w) - m), i -> concat_ws(' ', slice(w, i + 1, m)))")).alias("at", "p"))
-    found = spots.join(pattern, ["p", "m"]).select("r", "at", "m", "item_id")
-    hits = found.select("r", F.explode(F.sequence("at", F.col("at") + F.col("m") - 1)).alias("k")).distinct().groupBy("r").agg(F.count("*").alias("n_hit"))
-    per = found.select("r", "item_id").distinct().groupBy("r").agg(F.count("*").alias("n_items"), F.array_sort(F.collect_list(F.col("item_id").cast("string"))).alias("item_ids"))
-    return base.join(hits, "r", "left").join(per, "r", "left").select("doc_id", F.size("w").cast("long").alias("n_words"), F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("n_items", F.lit(0)).alias("n_items"), F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"))
+def by_blocks(docs: DataFrame, blocks: list[DataFrame]) -> DataFrame:
+    """The way for benchmarks of any size: one search for each block of patterns, so a task holds one block at a time; a document's
+    hits from all blocks are then put together by its row number."""
+    base = materialize(text_of(docs, "doc_id", "text").select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "texts")
+    each = []
+    for bench in blocks:
+        searchers, names = patterns_of(bench)
+
+        def run(batch: pa.RecordBatch, searchers=searchers, names=names) -> pa.RecordBatch:
+            words, hit, items = search_rows(searchers, batch.column(1))
+            spots = [np.flatnonzero(hit[a:b]) for a, b in zip(words.rows[:-1], words.rows[1:], strict=True)]
+            ids = [[names[i] for i in x] for x in items]
+            return pa.record_batch([batch.column(0), pa.array(np.diff(words.rows), pa.int64()), pa.array(spots, pa.list_(pa.int32())), pa.array(ids, pa.list_(pa.string()))], names=["row", "n_words", "spots", "ids"])
+
+        if searchers or not each:
+            each.append(map_batches(base.select("row", "text"), run, "row bigint, n_words bigint, spots array<int>, ids array<string>"))
+    found = reduce(DataFrame.unionAll, each)
+    counts = found.groupBy("row").agg(F.max("n_words").alias("n_words"))
+    hits = found.select("row", F.explode("spots").alias("k")).distinct().groupBy("row").agg(F.count("*").alias("n_hit"))
+    per = found.select("row", F.explode("ids").alias("id")).distinct().groupBy("row").agg(F.count("*").alias("n_items"), F.array_sort(F.collect_list("id")).alias("item_ids"))
+    whole = base.select("row", "doc_id").join(counts, "row").join(hits, "row", "left").join(per, "row", "left")
+    return whole.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("n_items", F.lit(0)).alias("n_items"), F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"))
 
 
 def digest(docs: DataFrame, benchmark: DataFrame, max_words: int = MAX_WORDS) -> DataFrame:
@@ -148,26 +174,21 @@ def digest(docs: DataFrame, benchmark: DataFrame, max_words: int = MAX_WORDS) ->
     return find_contamination(docs, benchmark, max_words).select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (F.col("n_items") >= MIN_ITEMS).alias("contaminated"))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, max_words: int = MAX_WORDS) -> DataFrame:
-    """The documents, all columns, that hold passages of fewer than MIN_ITEMS items. Small benchmarks need no join: the verdict is computed beside the row."""
-    bench = text_of(benchmark, "item_id", "text").where("text is not null")
-    n_words = bench.agg(F.sum(F.size(F.split("text", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")))).first()[0] or 0
-    if n_words > max_words:
-        bad = by_join(docs.select(F.xxhash64("doc_id", "text").alias("doc_id"), "text"), bench).where(F.col("n_items") >= MIN_ITEMS).select("doc_id").distinct()
-        return docs.join(bad, F.xxhash64(docs["doc_id"], docs["text"]) == bad["doc_id"], "left_anti")
-    rows = bench.collect()
-    ids = {x: i for i, x in enumerate(dict.fromkeys(r.item_id for r in rows))}
-    searchers, at = compile_patterns([(ids[r.item_id], r.text) for r in rows]), docs.columns.index("text")
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        words = Words(batch.column(at), ALNUM)
-        low, items = lowered(words), [set() for _ in range(batch.num_rows)]
-        for searcher in searchers:
-            for row, which in searcher.search(words, low)[1]:
-                items[row] |= which
-        return batch.filter(pa.array([len(x) < MIN_ITEMS for x in items], pa.bool_()))
-
-    return map_batches(docs, run, docs.schema)
+def decontaminate(docs: DataFrame, benchmark: DataFrame, max_words: int = MAX_WORDS, least_items: int = DROP_ITEMS) -> DataFrame:
+    """The documents, all columns and repeated rows as they are, without those in which windows of least_items benchmark items or more
+    occur. Null texts stay; an empty benchmark drops nothing. The verdict is computed beside the row, block after block, without a join."""
+    at = docs.columns.index("text")
+    for bench in blocks_of(benchmark, max_words) if least_items == 1 else ():
+        searchers, _ = patterns_of(bench)
+        if searchers:
+            docs = map_batches(docs, lambda batch, s=searchers: batch.filter(pa.array([not x for x in search_rows(s, batch.column(at))[2]], pa.bool_())), docs.schema)
+    if least_items == 1:
+        return docs
+    a, b = row_marks(docs, "doc_id", "text")
+    names = [fresh_name(docs.columns, c) for c in ("first_mark", "second_mark", "gone_mark")]
+    marked = docs.withColumns({names[0]: a, names[1]: b})
+    bad = find_contamination(marked.select(F.struct(names[0], names[1]).alias("doc_id"), "text"), benchmark, max_words).where(F.col("n_items") >= least_items).select(F.col("doc_id").alias(names[2])).distinct()
+    return marked.join(bad, F.struct(names[0], names[1]) == F.col(names[2]), "left_anti").select(*(marked[f"`{c}`"] for c in docs.columns))
 
 
 def sha(ids: list) -> str:

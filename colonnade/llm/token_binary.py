@@ -29,7 +29,8 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colonnade.llm.common import BATCH_ROWS, fresh_path, text_of
+from colonnade.llm.common import BATCH_ROWS, text_of
+from colonnade.storage import fresh_path
 
 MAGIC, VERSION, HEAD = b"CTOK", 1, struct.Struct("<4sIIQQQ")
 #: The id that ends each document, the step of the select samples in bits, and the most words kept in a worker's cache.
