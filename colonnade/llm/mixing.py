@@ -1,45 +1,56 @@
 r"""Operator 5, mixing sources to target weights by temperature, native.
 
-A source of token share p has the weight p^a / sum p^a. H(a), the weights' entropy, falls as the exponent a grows, and so does
-the most repeated source's number of passes; a is found by bisection (a grid of ARMS points each turn, one small aggregate
-for all of them): the greatest a whose entropy is at least target_entropy of the greatest possible, raised where needed until no
-source is repeated more than max_repeats times. The weights are then realised within a token budget: a source's quota is
-whole passes over its documents and a first part of one more, each pass in a random order of its own (a hash), and
-every copy gets a block such that each block of block_tokens holds all sources in their weights, in random order.
+A source of token share p has the weight p^a / sum p^a. H(a), the weights' entropy, falls as the exponent a grows; a is found by
+bisection (a grid of ARMS points each turn, one small aggregate for all of them): the greatest a whose entropy is at least
+target_entropy of the greatest possible, moved towards 1 where needed until the budget repeats no source more than max_repeats
+times. At a = 1 every source is repeated budget / total times, the least that is possible; a budget beyond max_repeats times the
+corpus is an error. The weights are then realised within the budget: a source's quota is whole passes over its documents
+and a first part of one more, each pass in a random order of its own (a hash), and every copy gets a block such that each block of
+block_tokens holds all sources in their weights, in random order.
 
 The order within a source is a prefix sum over hash slices and within a slice, so a source of any size is spread out.
 Tokens are words between spaces. Null text has no tokens and is in no pass. A null source is a source of its own.
-Repeated rows are documents of their own with the same places. An empty table gives no row. Only the named columns are read.
+Rows that are equal in all columns are documents of their own: each has its own places, spread over the slices. Rows that differ in
+any column are told apart. An empty table gives no row.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from colonnade.llm.common import fresh_name, materialize, text_of
+from colonnade.llm.common import fresh_name, materialize, row_marks, text_of
 
 #: Share of the greatest entropy ln(sources) aimed at; most passes over a source; tokens a block; points a turn and turns.
-TARGET_ENTROPY, MAX_REPEATS, BLOCK_TOKENS, ARMS, TURNS = 0.985, 4.0, 1_000_000, 64, 5
+TARGET_ENTROPY, MAX_REPEATS, BLOCK_TOKENS, ARMS, TURNS = 0.985, 4.0, 250_000, 64, 4
 #: Rows a hash slice should hold, and the most slices of a source (their sums are added up in one task).
 SLICE_ROWS, MAX_SLICES = 2_000, 100_000
+#: The greatest exponent looked at.
+MAX_EXPONENT = 8.0
 
 
-def exponent(shares: DataFrame, target_entropy: float = TARGET_ENTROPY, max_repeats: float = MAX_REPEATS) -> float:
-    """shares: one row a source with its tokens (over 0). Between 0 and 8."""
+def exponent(shares: DataFrame, target_entropy: float = TARGET_ENTROPY, max_repeats: float = MAX_REPEATS, budget: float | None = None) -> float:
+    """shares: one row a source with its tokens (over 0). Between 0 and MAX_EXPONENT."""
     total = shares.agg(F.sum("tokens").alias("t"), F.count("*").alias("k")).first()
-    if not total.k or total.k == 1:
+    if not total.k:
+        return 1.0
+    passes = (budget or total.t) / total.t
+    if passes > max_repeats + 1e-9:
+        raise ValueError(f"a budget of {passes:.3g} times the tokens repeats some source more than {max_repeats:g} times whatever the weights")
+    if total.k == 1:
         return 1.0
     p = F.col("tokens") / F.lit(float(total.t))
 
-    def search(good) -> float:
-        """The greatest a with good(entropy, repeats), which holds up to some a."""
-        lo, hi = 0.0, 8.0
+    def last(lo: float, hi: float, good: Callable[[float, float], bool]) -> float:
+        """The point of the way from lo, where good(entropy, repeats) holds, to hi up to which it holds."""
         for _ in range(TURNS):
             arms = [lo + (hi - lo) * i / ARMS for i in range(ARMS + 1)]
             each = shares.select("tokens", F.explode(F.array(*map(F.lit, arms))).alias("a")).select("a", p.alias("p"), F.pow(p, F.col("a")).alias("w"))
             seen = each.groupBy("a").agg(F.sum("w").alias("z"), F.sum(F.col("w") * F.log("w")).alias("e"), F.max(F.col("w") / F.col("p")).alias("r")).collect()  # ARMS + 1 rows
-            passed = {r.a: good(_log(r.z) - r.e / r.z, r.r / r.z) for r in seen}
+            passed = {r.a: good(math.log(r.z) - r.e / r.z, passes * r.r / r.z) for r in seen}
             best = 0
             while best < ARMS and passed[arms[best + 1]]:
                 best += 1
@@ -48,69 +59,71 @@ def exponent(shares: DataFrame, target_entropy: float = TARGET_ENTROPY, max_repe
                 break
         return lo
 
-    def least(good) -> float:
-        """The least a with good(...), which holds from some a on."""
-        return search(lambda h, r: not good(h, r))
-
-    aim = search(lambda h, r: h >= target_entropy * _log(total.k))
-    return max(aim, least(lambda h, r: r <= max_repeats + 1e-9))
-
+    aim = last(0.0, MAX_EXPONENT, lambda h, r: h >= target_entropy * math.log(total.k))
+    return last(1.0, aim, lambda h, r: r <= max_repeats + 1e-9)
 
-def _log(x: float) -> float:
-    import math
 
-    return math.log(x)
+def token_rows(docs: DataFrame) -> DataFrame:
+    """doc_id, source, n_tokens and the two marks of every row with a token, written; key tells rows of equal marks apart."""
+    a, b = row_marks(docs)
+    words = F.size(F.regexp_extract_all(F.coalesce(docs["text"], F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))).cast("long")
+    rows = docs.select(docs["doc_id"], docs["source"], words.alias("n_tokens"), a.alias("mark_a"), b.alias("mark_b"))
+    rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "tokens").where("n_tokens > 0")
+    again = materialize(rows.groupBy("mark_a", "mark_b").agg(F.count("*").alias("n")).where("n > 1"), "repeated")
+    key = F.xxhash64("mark_a", "mark_b")
+    if again.isEmpty():
+        return rows.select("*", key.alias("key"))
+    found = rows.join(again, ["mark_a", "mark_b"], "left")
+    return found.select(*rows.columns, F.when(F.col("n").isNull(), key).otherwise(F.xxhash64("mark_a", "mark_b", "row")).alias("key"))
 
 
-def places(docs: DataFrame, budget: int | None = None, target_entropy: float = TARGET_ENTROPY, max_repeats: float = MAX_REPEATS, block_tokens: int = BLOCK_TOKENS, text: bool = False) -> DataFrame:
-    """doc_id, source, n_tokens, row_hash, pass (from 0), block and spot (the order within the block) of every copy."""
-    words = F.size(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))).cast("long")
-    rows = text_of(docs, "doc_id", "source", "text").select("doc_id", "source", words.alias("n_tokens"), F.xxhash64("doc_id", "text", "source").alias("row_hash"))
-    rows = materialize(rows, "tokens").where("n_tokens > 0")
+def places(docs: DataFrame, budget: int | None = None, target_entropy: float = TARGET_ENTROPY, max_repeats: float = MAX_REPEATS, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """doc_id, source, n_tokens, mark_a, mark_b, pass (from 0), block and spot (the order within the block) of every copy."""
+    rows = token_rows(docs)
     shares = materialize(rows.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs")), "shares")
     total = shares.agg(F.sum("tokens").alias("t")).first().t or 0
     budget = budget or total
-    a = exponent(shares, target_entropy, max_repeats)
+    a = exponent(shares, target_entropy, max_repeats, budget)
     z = shares.agg(F.sum(F.pow(F.col("tokens") / float(max(total, 1)), F.lit(a)))).first()[0] or 1.0
     quota = F.floor(F.lit(float(budget) / z) * F.pow(F.col("tokens") / float(max(total, 1)), F.lit(a)))
     plan = shares.select(F.col("source").alias("_source"), "tokens", quota.alias("quota"), F.least(F.lit(MAX_SLICES), F.greatest(F.lit(1), F.ceil(F.col("docs") / SLICE_ROWS))).alias("slices"))
-    full = F.least(F.floor(F.col("quota") / F.col("tokens")), F.lit(max_repeats).cast("long") + 1)
-    each = rows.join(plan, rows["source"].eqNullSafe(plan["_source"])).drop("_source").withColumn("full", full)
-    each = each.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("full"))).alias("pass"))
+    each = rows.join(plan, rows["source"].eqNullSafe(plan["_source"])).drop("_source")
+    each = each.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("quota") / F.col("tokens")))).alias("pass"))
     # where a document stands in a pass: slices of the hash, then within the slice
-    h = F.xxhash64("row_hash", "pass")
+    h = F.xxhash64("key", "pass")
     each = each.withColumn("h", h).withColumn("slice", F.pmod(F.shiftrightunsigned("h", 32), F.col("slices")))
-    key = ["source", "pass", "slice"]
-    sums = each.groupBy(*key).agg(F.sum("n_tokens").alias("held"))
-    before = sums.select(*(F.col(k).alias(f"_{k}") for k in key), (F.sum("held").over(Window.partitionBy("source", "pass").orderBy("slice")) - F.col("held")).alias("before"))
-    inside = F.sum("n_tokens").over(Window.partitionBy(*key).orderBy("h", "row_hash").rowsBetween(Window.unboundedPreceding, 0))
+    slot = ["source", "pass", "slice"]
+    sums = each.groupBy(*slot).agg(F.sum("n_tokens").alias("held"))
+    before = sums.select(*(F.col(k).alias(f"_{k}") for k in slot), (F.sum("held").over(Window.partitionBy("source", "pass").orderBy("slice")) - F.col("held")).alias("before"))
+    inside = F.sum("n_tokens").over(Window.partitionBy(*slot).orderBy("h", "key").rowsBetween(Window.unboundedPreceding, 0))
     each = each.withColumn("inside", inside)
     each = each.join(before, each["source"].eqNullSafe(before["_source"]) & (each["pass"] == before["_pass"]) & (each["slice"] == before["_slice"]))
     upto = F.col("pass") * F.col("tokens") + F.col("before") + F.col("inside")
     taken = each.withColumn("upto", upto).where("upto <= quota")
     blocks = max(1, -(-int(budget) // block_tokens))
     block = F.least(F.floor((F.col("upto") - F.col("n_tokens")) * blocks / F.col("quota")), F.lit(blocks - 1))
-    return taken.select("doc_id", "source", "n_tokens", "row_hash", "pass", block.alias("block"), F.xxhash64("row_hash", "pass", F.lit(17)).alias("spot"))
+    return taken.select("doc_id", "source", "n_tokens", "mark_a", "mark_b", "pass", block.alias("block"), F.xxhash64("key", "pass", F.lit(17)).alias("spot"))
 
 
 def digest(docs: DataFrame) -> DataFrame:
     """Every copy of a document in the mixture, and its place."""
-    return places(docs).select("doc_id", "source", "n_tokens", F.col("pass").alias("epoch"), "block", F.col("spot").alias("order_in_block"))
+    return places(text_of(docs, "doc_id", "source", "text")).select("doc_id", "source", "n_tokens", F.col("pass").alias("epoch"), "block", F.col("spot").alias("order_in_block"))
 
 
 def mix_sources(docs: DataFrame, **how) -> DataFrame:
-    """The documents, all columns, as often as the mixture has them."""
-    names = [fresh_name(docs.columns, c) for c in ("row_mark", "mark", "copies", "copy")]
-    a, b, c, d = names
-    # rows that are alike have the same mark: their copies are shared out evenly
-    found = places(docs, **how).groupBy("row_hash").agg(F.count("*").alias(c)).select(F.col("row_hash").alias(b), c)
-    alike = text_of(docs, "doc_id", "text", "source").select(F.xxhash64("doc_id", "text", "source").alias("m")).groupBy("m").agg(F.count("*").alias("n")).where("n > 1")
-    alike = materialize(alike, "alike")
-    marked = docs.withColumn(a, F.xxhash64("doc_id", "text", "source"))
-    if not alike.isEmpty():
-        once = fresh_name(docs.columns, "nth")
-        twice = marked.join(alike.withColumnsRenamed({"m": b, "n": d}), F.col(a) == F.col(b), "left_semi")
-        twice = twice.withColumn(once, F.row_number().over(Window.partitionBy(a).orderBy(a))).where(F.col(once) == 1).drop(once)
-        marked = marked.join(alike.withColumnsRenamed({"m": b, "n": d}), F.col(a) == F.col(b), "left_anti").unionByName(twice)
-    out = marked.join(found, F.col(a) == F.col(b)).withColumn(d, F.explode(F.sequence(F.lit(1).cast("long"), F.col(c))))
-    return out.select(*(out[x] for x in docs.columns))
+    """The documents, all columns, as often as the mixture has them, in its order: partition after partition, by block and by spot within it.
+
+    Rows that are equal in all columns can stand for each other, so one of them meets the places of all of them."""
+    names = [fresh_name(docs.columns, c) for c in ("first_mark", "second_mark", "block_no", "spot_no", "row_of")]
+    a, b, block, spot, held = names
+    found = materialize(places(docs, **how).select(F.col("mark_a").alias("m"), F.col("mark_b").alias("n"), F.col("block").alias(block), F.col("spot").alias(spot)), "places")
+    mark_a, mark_b = row_marks(docs)
+    marked = docs.withColumns({a: mark_a, b: mark_b})
+    again = materialize(marked.groupBy(a, b).agg(F.count("*").alias("n")).where("n > 1").select(F.col(a).alias("m"), F.col(b).alias("n")), "repeated")
+    same = (F.col(a) == F.col("m")) & (F.col(b) == F.col("n"))
+    if not again.isEmpty():
+        once = marked.join(again, same, "left_semi").groupBy(a, b).agg(F.first(F.struct(*(marked[f"`{c}`"] for c in docs.columns))).alias(held))
+        marked = marked.join(again, same, "left_anti").unionAll(once.select(*(F.col(held)[c].alias(c) for c in docs.columns), a, b))
+    out = marked.join(found, same)
+    ordered = out.repartitionByRange(F.col(block), F.col(spot)).sortWithinPartitions(block, spot)
+    return ordered.select(*(F.col(f"`{c}`") for c in docs.columns))
