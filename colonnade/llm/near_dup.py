@@ -13,7 +13,8 @@ join on their rarest shingles: two bags that overlap in 0.8 of their union share
 what is left suffices for the overlap. So every two nodes that share a bucket end in one component or have been compared or ruled out
 exactly. A pair is linked if 10 * overlap >= 8 * union of the bags.
 
-Classes are the connected components; class_id is the least doc_id of the class (null doc_ids last). Documents without a word
+Classes are the connected components; class_id is the least doc_id of the class (null doc_ids last), and one row of each class is
+kept: that doc_id's, by the hash of its text if several texts have it. Documents without a word
 (null, empty, signs only) are classes of their own. Repeated rows fall in one class; an empty table gives no row.
 Only doc_id and text are read, so further columns cannot clash.
 """
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colonnade.llm.common import ALNUM, Words, bit_filter, fresh_name, has_bit, map_batches, materialize, mix, shingles, text_of
+from colonnade.llm.common import ALNUM, BATCH_ROWS, Words, bit_filter, chunk_rows, discard, fresh_name, has_bit, map_batches, materialize, mix, row_marks, shingles, text_of
 
 SHINGLE, BANDS, ROWS, M = 5, 40, 5, 200
 #: Bits of the counts by which shingles are ordered.
@@ -111,60 +112,77 @@ def band_hashes(registers: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """jk (doc_id, or a hash of the text where it is null), null_id, doc_id, key, n, bands of every row."""
-    base = text_of(docs, "doc_id", "text").select("doc_id", "text", row_key(F.col("doc_id"), F.col("text")).alias("jk"))
+    """row (a number of its own), doc_id, mark_a, mark_b (hashes of doc_id and text), key, n, bands of every row."""
+    base = text_of(docs, "doc_id", "text")
+    a, b = row_marks(base)
+    base = base.select(F.col("doc_id").cast("long").alias("doc_id"), "text", a.alias("mark_a"), b.alias("mark_b"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         bags = Bags(batch.column(1))
         bands = band_hashes(bag_min_hash(bags))
         lists = pa.ListArray.from_arrays(np.arange(0, (bags.n + 1) * BANDS, BANDS, dtype=np.int32), pa.array(bands.ravel(), pa.int64()))
-        return pa.record_batch([batch.column(2), batch.column(0).cast(pa.int64()), pa.array(bags.keys(), pa.binary()), pa.array(bags.total, pa.int64()), lists], names=["jk", "doc_id", "key", "n", "bands"])
+        return pa.record_batch([batch.column(0), batch.column(2), batch.column(3), pa.array(bags.keys(), pa.binary()), pa.array(bags.total, pa.int64()), lists], names=["doc_id", "mark_a", "mark_b", "key", "n", "bands"])
 
-    return map_batches(base, run, "jk bigint, doc_id bigint, key binary, n bigint, bands array<bigint>")
-
-
-def row_key(doc_id, text) -> F.Column:
-    return F.coalesce(doc_id.cast("long"), F.xxhash64(text))
+    found = map_batches(base, run, "doc_id bigint, mark_a bigint, mark_b bigint, key binary, n bigint, bands array<bigint>")
+    return found.select(F.monotonically_increasing_id().alias("row"), "*")
 
 
 def bag_sets(docs: DataFrame, bits: np.ndarray, size: int) -> DataFrame:
-    """key and the bag as an array, of the documents whose row key has its bit set."""
-    base = text_of(docs, "doc_id", "text").select(row_key(F.col("doc_id"), F.col("text")).alias("jk"), "text")
+    """mark_a, key and the bag as an array, of the documents whose mark_a has its bit set; of rows with one mark, one a task."""
+    base = text_of(docs, "doc_id", "text")
+    base = base.select(row_marks(base)[0].alias("mark_a"), "text")
     bits = docs.sparkSession.sparkContext.broadcast(bits)  # at most 16 MB
+    base.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        batch = batch.filter(pa.array(has_bit(bits.value, size, np.asarray(batch.column(0)))))
-        bags = Bags(batch.column(1))
-        values, bounds = bags.sets()
-        return pa.record_batch([batch.column(0), pa.array(bags.keys(), pa.binary()), pa.ListArray.from_arrays(bounds.astype(np.int32), pa.array(values, pa.int64()))], names=["jk", "key", "bag"])
-
-    return map_batches(base, run, "jk bigint, key binary, bag array<bigint>")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for whole in batches:
+            marks = np.asarray(whole.column(0))
+            keep = has_bit(bits.value, size, marks)
+            for i in np.flatnonzero(keep).tolist():
+                keep[i] = marks[i] not in seen
+                seen.add(int(marks[i]))
+            held = whole.filter(pa.array(keep))
+            for lo, hi in chunk_rows(held):
+                batch = held.slice(lo, hi - lo)
+                bags = Bags(batch.column(1))
+                values, bounds = bags.sets()
+                yield pa.record_batch([batch.column(0), pa.array(bags.keys(), pa.binary()), pa.ListArray.from_arrays(bounds.astype(np.int32), pa.array(values, pa.int64()))], names=["mark_a", "key", "bag"])
+
+    return base.mapInArrow(run, "mark_a bigint, key binary, bag array<bigint>")
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """node, comp of every node of the edges (a, b; written) but those that are their own component's name, by contraction.
+
+    In each round every node goes over to its least neighbour's least neighbour, if that is less, and edges within a node go;
+    so the edges shrink, and only maps of one row a node are joined by a name that many rows share."""
+    total = None
+    while True:
+        both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        hook = materialize(both.where("b < a").groupBy("a").agg(F.min("b").alias("to")), "hooks")
+        if hook.isEmpty():
+            return hook.select(F.col("a").alias("node"), F.col("to").alias("comp")) if total is None else total
+        hook = materialize(follow(hook, hook, "to"), "hooks")
+        moved = follow(follow(edges.select("a", "b"), hook, "a"), hook, "b").where("a != b")
+        edges = materialize(moved.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+        step = hook.select(F.col("a").alias("node"), F.col("to").alias("comp"))
+        total = step if total is None else materialize(follow(total, hook, "comp").unionAll(step.join(total, "node", "left_anti")), "labels")
 
 
-def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, comp: the least node that a node is connected with. nodes: node, comp as known so far, single nodes included."""
-    labels = nodes
-    while True:
-        both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        near = both.join(labels.select(F.col("node").alias("b"), "comp"), "b").groupBy("a").agg(F.min("comp").alias("least"))
-        step = labels.join(near, labels["node"] == near["a"], "left").select("node", "comp", F.least("comp", "least").alias("new"))
-        # all of a component follow its least member's neighbours
-        root = step.groupBy("comp").agg(F.min("new").alias("root"))
-        new = step.join(root, "comp").select("node", F.least("new", "root").alias("comp"), (F.least("new", "root") != F.col("comp")).alias("moved"))
-        labels = materialize(new, "labels")
-        moved = labels.where("moved").limit(1).count()
-        labels = labels.drop("moved")
-        if not moved:
-            return labels
+def follow(rows: DataFrame, steps: DataFrame, column: str) -> DataFrame:
+    """rows with the column's values taken over from a to `to` by steps, where they have one."""
+    held = steps.select(F.col("a").alias("_from"), F.col("to").alias("_to"))
+    return rows.join(held, rows[column] == held["_from"], "left").select(*(F.coalesce("_to", column).alias(c) if c == column else F.col(c) for c in rows.columns))
 
 
 def linked(pairs: DataFrame, bags: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose bags overlap in 0.8 of their union or more."""
+    """The pairs (a, b and further columns) whose bags overlap in 0.8 of their union or more."""
     x = bags.select(F.col("node").alias("a"), F.col("bag").alias("bag_a"))
     y = bags.select(F.col("node").alias("b"), F.col("bag").alias("bag_b"))
     both = pairs.join(x, "a").join(y, "b")
     shared = F.size(F.array_intersect("bag_a", "bag_b"))
-    return both.where(10 * shared >= 8 * (F.size("bag_a") + F.size("bag_b") - shared)).select("a", "b")
+    return both.where(10 * shared >= 8 * (F.size("bag_a") + F.size("bag_b") - shared)).select(*pairs.columns)
 
 
 def prefixes(bags: DataFrame) -> DataFrame:
@@ -203,63 +221,71 @@ def similar_sizes(n, m) -> F.Column:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """jk, doc_id, class_id, class_jk (the row key of the class's first row) and class_size of every row."""
+    """row, doc_id, mark_a, mark_b, class_id, class_size, kept and has_words of every row. Tables that many rows of one key meet are
+    written before the join, so that Spark can split the key's rows among tasks."""
     rows = materialize(signatures(docs), "signatures")
     full = rows.where("key is not null")
-    bags = full.groupBy("key").agg(F.min("jk").alias("jk"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    nodes = materialize(bags.select(F.monotonically_increasing_id().alias("node"), "key", "jk", "n", "bands"), "nodes")
+    names = materialize(full.groupBy("key").agg(F.min("row").alias("node")), "nodes")  # a node is a bag's first row
+    nodes = materialize(full.join(names.select(F.col("node").alias("row")), "row").select(F.col("row").alias("node"), "key", "mark_a", "n", "bands"), "nodes")
     spots = nodes.select("node", F.explode("bands").alias("bucket"))
-    sizes = spots.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    sizes = materialize(spots.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
     shared = materialize(spots.join(sizes, "bucket"), "buckets")
     # a node that meets many others is likely the original of a large group
     weights = shared.groupBy("node").agg(F.sum("size").alias("w"))
-    inside = materialize(weights.join(nodes, "node"), "inside")
-    bits, size = bit_filter(inside, "jk", inside.count())
-    sets = materialize(inside.select("node", "key", "jk").join(bag_sets(docs, bits, size), ["jk", "key"]).groupBy("node").agg(F.first("bag").alias("bag")), "bags")
+    inside = materialize(weights.join(nodes, "node").select("node", "w", "n", "key", "mark_a"), "inside")
+    bits, size = bit_filter(inside, "mark_a", inside.count())
+    sets = materialize(inside.select("node", "key", "mark_a").join(bag_sets(docs, bits, size), ["mark_a", "key"]).groupBy("node").agg(F.first("bag").alias("bag")), "bags")
     # first with one pivot a bucket, which settles large groups of near copies
-    facts = inside.select("node", "w", "n")
-    crowd = shared.select("bucket", "node").join(facts, "node")
-    pivots = crowd.groupBy("bucket").agg(F.max(F.struct("w", "node", "n")).alias("p"))
+    crowd = materialize(shared.select("bucket", "node").join(inside.select("node", "w", "n"), "node"), "crowd")
+    discard(shared)
+    pivots = materialize(crowd.groupBy("bucket").agg(F.max(F.struct("w", "node", "n")).alias("p")), "pivots")
     pairs = crowd.join(pivots, "bucket").where((F.col("node") != F.col("p.node")) & similar_sizes(F.col("n"), F.col("p.n")))
-    pairs = pairs.select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct()
-    labels = components(materialize(linked(pairs, sets), "links"), inside.select("node", F.col("node").alias("comp")))
+    pairs = materialize(pairs.select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct(), "pairs")
+    parts = components(materialize(linked(pairs, sets), "links"))
+    labels = materialize(inside.select("node").join(parts, "node", "left").select("node", F.coalesce("comp", "node").alias("comp")), "labels")
     # then all nodes that still share a bucket with another component
-    placed = shared.select("bucket", "node").join(labels, "node")
-    mixed = placed.groupBy("bucket").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 < c2").select("bucket")
+    placed = materialize(crowd.select("bucket", "node").join(labels, "node"), "placed")
+    discard(crowd)
+    mixed = materialize(placed.groupBy("bucket").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 < c2").select("bucket"), "mixed")
     rest = materialize(placed.join(mixed, "bucket").select("node", "comp").distinct(), "rest")
     tokens = prefixes(materialize(sets.join(rest, "node"), "rest_bags"))
-    met = tokens.groupBy("token").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 < c2").select("token")
-    tokens = tokens.join(met, "token")
+    met = materialize(tokens.groupBy("token").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 < c2").select("token"), "met")
+    tokens = materialize(tokens.join(met, "token"), "met_tokens")
     x, y = (tokens.select("token", *(F.col(c).alias(c + i) for c in ("node", "comp", "n", "place"))) for i in "12")
     most = F.least(F.col("n1") - F.col("place1"), F.col("n2") - F.col("place2"))  # can be shared from the first shared one on
     close = (F.col("node1") < F.col("node2")) & (F.col("comp1") != F.col("comp2")) & similar_sizes(F.col("n1"), F.col("n2")) & (9 * most >= 4 * (F.col("n1") + F.col("n2")))
-    pairs = x.join(y, "token").where(close).select(F.col("node1").alias("a"), F.col("node2").alias("b")).distinct()
-    labels = components(materialize(linked(pairs, sets), "links"), labels)
+    pairs = materialize(x.join(y, "token").where(close).select(F.col("node1").alias("a"), F.col("node2").alias("b"), "comp1", "comp2").distinct(), "pairs")
+    between = linked(pairs, sets).select(F.least("comp1", "comp2").alias("a"), F.greatest("comp1", "comp2").alias("b")).distinct()
+    parts = materialize(components(materialize(between, "links")).select(F.col("node").alias("a"), F.col("comp").alias("to")), "parts")
+    labels = materialize(follow(labels, parts, "comp"), "labels")
     # from nodes to rows
-    names = nodes.select("node", "key").join(labels, "node", "left").select("key", F.coalesce("comp", "node").alias("comp"))
-    placed = materialize(full.select("jk", "doc_id", "key").join(names, "key").select("jk", "doc_id", "comp"), "placed")
-    first = placed.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "jk")).alias("first"), F.count("*").alias("class_size"))
-    out = placed.join(first, "comp").select("jk", "doc_id", F.col("first.doc_id").alias("class_id"), F.col("first.jk").alias("class_jk"), "class_size")
-    return out.unionByName(rows.where("key is null").select("jk", "doc_id", F.col("doc_id").alias("class_id"), F.col("jk").alias("class_jk"), F.lit(1).cast("long").alias("class_size")))
+    named = materialize(names.join(labels, "node", "left").select("key", F.coalesce("comp", "node").alias("comp")), "names")
+    placed = materialize(full.select("row", "doc_id", "mark_a", "mark_b", "key").join(named, "key").drop("key"), "placed")
+    order = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "mark_a", "mark_b", "row")
+    first = materialize(placed.groupBy("comp").agg(F.min(order).alias("first"), F.count("*").alias("class_size")), "classes")
+    out = placed.join(first, "comp").select("row", "doc_id", "mark_a", "mark_b", F.col("first.doc_id").alias("class_id"), "class_size", (F.col("row") == F.col("first.row")).alias("kept"), F.lit(True).alias("has_words"))
+    alone = rows.where("key is null").select("row", "doc_id", "mark_a", "mark_b", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept"), F.lit(False).alias("has_words"))
+    return out.unionAll(alone)
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """One row a document: its class, the class's size, and whether it is the one to keep."""
-    return near_duplicates(docs).select("doc_id", "class_id", "class_size", F.equal_null("jk", "class_jk").alias("kept"))
+    """One row a document: its class, the class's size, and whether it is the one to keep, which holds for one row of each class."""
+    return near_duplicates(docs).select("doc_id", "class_id", "class_size", "kept")
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The documents, all columns, with one of each class: the least doc_id's. Rows of one doc_id that fall in one class count once."""
-    found = near_duplicates(docs)
-    a, b, c = (fresh_name(docs.columns, x) for x in ("row_key", "gone_key", "nth"))
-    goes = found.where("jk != class_jk").select(F.col("jk").alias(b)).distinct()
-    goes = goes.join(found.where("jk = class_jk").select(F.col("jk").alias(b)).distinct(), b, "left_anti")
-    kept = docs.withColumn(a, row_key(F.col("doc_id"), F.col("text"))).join(goes, F.col(a) == F.col(b), "left_anti")
-    again = found.where("jk = class_jk and class_size > 1").groupBy("jk").count().where("count > 1").select(F.col("jk").alias(b))
-    again = materialize(again, "repeated")
-    if not again.isEmpty():
-        from pyspark.sql import Window
-
-        twice = kept.join(again, F.col(a) == F.col(b), "left_semi").withColumn(c, F.row_number().over(Window.partitionBy(a, F.xxhash64("text")).orderBy(a))).where(F.col(c) == 1).drop(c)
-        kept = kept.join(again, F.col(a) == F.col(b), "left_anti").unionByName(twice)
-    return kept.drop(a)
+    """The documents, all columns, with one row of each class: the least doc_id's (null last); of several rows of that doc_id, the one whose
+    text and then whose other columns have the least hash. Rows without a word all stay."""
+    a, b, c, d, held = (fresh_name(docs.columns, x) for x in ("mark_1", "mark_2", "found_1", "found_2", "row_of"))
+    verdicts = near_duplicates(docs).groupBy("mark_a", "mark_b").agg(F.max("kept").alias("kept"), F.max("has_words").alias("has_words"), F.count("*").alias("n"))
+    verdicts = materialize(verdicts.where("not kept or has_words and n > 1").select(F.col("mark_a").alias(c), F.col("mark_b").alias(d), "kept"), "verdicts")
+    mark_a, mark_b = row_marks(docs, "doc_id", "text")
+    marked, same = docs.withColumns({a: mark_a, b: mark_b}), (F.col(a) == F.col(c)) & (F.col(b) == F.col(d))
+    columns = lambda df: [df[f"`{x}`"] for x in docs.columns]
+    out = marked.join(verdicts.drop("kept"), same, "left_anti")
+    again = verdicts.where("kept").drop("kept")
+    if again.isEmpty():
+        return out.select(*columns(out))
+    twice = marked.join(again, same, "left_semi")
+    once = twice.groupBy(a, b).agg(F.min_by(F.struct(*columns(twice)), F.struct(*row_marks(docs))).alias(held))
+    return out.select(*columns(out)).unionAll(once.select(*(F.col(held)[x].alias(x) for x in docs.columns)))

@@ -74,7 +74,7 @@ reach(root, node) AS (
   SELECT doc_id, doc_id FROM documents WHERE doc_id IN (SELECT x FROM edges)
   UNION SELECT root, y FROM reach JOIN edges ON node = x),
 classes AS (SELECT doc_id, coalesce(m, doc_id) AS class_id FROM documents LEFT JOIN (SELECT node, min(root) AS m FROM reach GROUP BY node) ON node = doc_id)
-SELECT doc_id, class_id, count(*) OVER (PARTITION BY class_id) AS class_size, doc_id = class_id AS kept FROM classes
+SELECT doc_id, class_id, count(*) OVER (PARTITION BY class_id) AS class_size, row_number() OVER (PARTITION BY class_id ORDER BY doc_id) = 1 AS kept FROM classes
 """
 
 
