@@ -1,34 +1,62 @@
 r"""Operator 2, quality rules with robust multivariate outliers, native.
 
-Every document has word statistics and a vector of transformed ones. Per (lang, source) group a minimum covariance
-determinant estimate of centre and scatter is found: from the group's median and spread, concentration steps keep the
-half of the rows with the least Mahalanobis distances and estimate again. Rows whose distance from the final estimate is beyond a
-chi-square limit are rejected. Everything is DataFrame expressions: groups are aggregated with partial sums, quantiles
-come from counts over a fixed grid of bins, so the size or skew of a group does not matter.
-
-Groups of fewer than MIN_GROUP usable rows use the estimate of all rows together. Rows that fail the base rule take no part in the
-estimates. Null text has no words and fails the base rule; null lang and null source are groups like any other. Repeated
-rows get equal verdicts. An empty table gives no row. Only doc_id, text, lang and source are read.
+Every document has word statistics and a vector of transformed ones. For each (lang, source) group, each language and all rows together,
+a minimum covariance determinant estimate of centre and scatter is found: from STARTS starts (median and spread, all rows,
+two random fifths) concentration steps keep the SHARE of the rows with the least Mahalanobis distances and estimate again, until no
+determinant falls any more; the start with the least determinant counts, and a factor makes the scatter consistent for
+normal rows. One formula holds for groups of every size: a group's estimate with the weight of its n rows is mixed with its
+language's, which has the weight of PRIOR rows, and the language's likewise with that of all rows. Rows whose squared distance is
+beyond the chi-square limit are rejected. Everything is DataFrame expressions: groups are aggregated with partial sums, and the
+rows to keep come from counts over a fixed grid of bins, so the size or skew of a group does not matter.
+
+Rows that fail the base rule take no part in the estimates. Null text has no words and fails the base rule; null lang and null
+source are groups like any other. Repeated rows get equal verdicts. An empty table gives no row. Only doc_id, text, lang and
+source are read.
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from colonnade.llm.common import fresh_name, materialize, text_of
+from colonnade.llm.common import discard, fresh_name, materialize, row_marks, text_of
 
 SPACES, SYMBOLS = r"[\x20\x09-\x0D]+", r"[^#*$%&|<>]+"
 MIN_WORDS, MAX_REPEAT = 50, 50
-#: Rows of a group with an estimate of its own; concentration steps; share of rows kept in a step; bins a unit of a log distance.
-MIN_GROUP, STEPS, HALF, BINS = 60, 6, 0.75, 32
-#: Rejected beyond this squared distance: chi-square, 5 degrees of freedom, 1 - 1e-6 (35.9), with some room for heavy tails.
-LIMIT = 50.0
 DIMS = ("v1", "v2", "v3", "v4", "v5")
+#: Starts, the most concentration steps, share of rows kept in a step, bins a unit of a log distance, rows that a wider estimate counts as.
+STARTS, STEPS, SHARE, BINS, PRIOR = 4, 12, 0.75, 32, 30
+#: A fall of a log determinant that counts, and the share of good rows that the limit may reject.
+FALL, ALPHA = 1e-3, 1e-6
 #: Added to each scatter's diagonal: the squared spread below which a statistic does not tell documents apart.
-RIDGE = (0.05**2, 0.035**2, 0.16**2, 0.09**2, 0.05**2)
+RIDGE = (0.05**2, 0.035**2, 0.13**2, 0.09**2, 0.05**2)
+
+
+def chi_square(x: float, k: int) -> float:
+    """The chi-square distribution function with k degrees of freedom."""
+    term = total = 1 / math.gamma(k / 2 + 1)
+    i = 0
+    while term > 1e-17 * total:
+        i += 1
+        term *= x / 2 / (k / 2 + i)
+        total += term
+    return total * math.exp(k / 2 * math.log(x / 2) - x / 2) if x > 0 else 0.0
+
+
+def chi_square_quantile(p: float, k: int) -> float:
+    lo, hi = 0.0, 200.0
+    for _ in range(80):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if chi_square(mid, k) < p else (lo, mid)
+    return lo
+
+
+#: Rejected beyond this squared distance, and what makes the scatter of the kept share consistent.
+LIMIT = chi_square_quantile(1 - ALPHA, len(DIMS))
+CONSISTENCY = SHARE / chi_square(chi_square_quantile(SHARE, len(DIMS)), len(DIMS) + 2)
 
 
 def statistics(docs: DataFrame, *keep: str) -> DataFrame:
@@ -56,43 +84,54 @@ def base_failed() -> F.Column:
 
 
 def vectors(stats: DataFrame) -> DataFrame:
-    """stats with its transformed vector v1..v5 and base_failed."""
+    """stats with its transformed vector v1..v5, base_failed and the names of its three groups."""
     chars, words = F.greatest("word_chars", F.lit(1)), F.greatest("n_words", F.lit(1))
     made = (F.log(chars / words), F.sqrt(F.col("n_symbols") / chars), F.sqrt(F.col("n_dup_lines") / F.greatest("n_lines", F.lit(1))), F.sqrt(F.col("n_repeat_words") / words), F.sqrt(F.col("n_loud") / chars))
-    return stats.select("*", *(c.alias(n) for c, n in zip(made, DIMS, strict=True)), base_failed().alias("base_failed"))
+    named = lambda level, *cols: F.concat(F.lit(level), F.to_json(F.struct(*cols))) if cols else F.lit(level)
+    groups = (named("0"), named("1", "lang"), named("2", "lang", "source"))
+    return stats.select("*", *(c.alias(n) for c, n in zip(made, DIMS, strict=True)), base_failed().alias("base_failed"), *(g.alias(f"g{i}") for i, g in enumerate(groups)))
 
 
 PAIRS = [(i, j) for i in range(5) for j in range(i + 1)]
-KEYS = ("level", "lang", "source")
+KEYS = ("gid", "start")
+CENTRE, SCATTER = [f"m{i}" for i in range(5)], [f"s{i}{j}" for i, j in PAIRS]
+
+
+def sums() -> list[F.Column]:
+    return [F.count("*").alias("k"), *(F.sum(d).alias(f"t{i}") for i, d in enumerate(DIMS)), *(F.sum(F.col(DIMS[i]) * F.col(DIMS[j])).alias(f"q{i}{j}") for i, j in PAIRS)]
+
+
+def moments(added: DataFrame, factor: float) -> DataFrame:
+    """KEYS, n, the mean and factor times the covariance of the sums of k rows."""
+    means = added.select(*KEYS, "n", *((F.col(f"t{i}") / F.col("k")).alias(f"m{i}") for i in range(5)), *((F.col(f"q{i}{j}") / F.col("k")).alias(f"q{i}{j}") for i, j in PAIRS))
+    cov = {(i, j): F.col(f"q{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}") for i, j in PAIRS}
+    return means.select(*KEYS, "n", *CENTRE, *((factor * (F.greatest(c, F.lit(0.0)) if i == j else c)).alias(f"s{i}{j}") for (i, j), c in cov.items()))
 
 
 def trimmed_moments(held: DataFrame, value: F.Column, share: float) -> DataFrame:
-    """Count, mean and covariance (n, m0.., s00..) by KEYS of the rows in the lowest bins that hold the share of the group, in one pass.
+    """KEYS, n (rows of the group), mean and consistent covariance of the rows in the lowest bins of value that hold the share of the group, in one pass.
 
     Sums are kept per bin of the value's log, and partial before the shuffle; then whole bins are added up."""
-    from pyspark.sql import Window
-
-    sums = [F.count("*").alias("n"), *(F.sum(d).alias(f"t{i}") for i, d in enumerate(DIMS)), *(F.sum(F.col(DIMS[i]) * F.col(DIMS[j])).alias(f"q{i}{j}") for i, j in PAIRS)]
-    binned = held.withColumn("bin", F.floor(F.log(value + 1e-9) * BINS)).groupBy(*KEYS, "bin").agg(*sums)
+    binned = held.withColumn("bin", F.floor(F.log(value + 1e-9) * BINS)).groupBy(*KEYS, "bin").agg(*sums())
     per = Window.partitionBy(*KEYS)  # over bins, of which there are under 2,000 a group
-    run = binned.select("*", F.sum("n").over(per.orderBy("bin")).alias("upto"), F.sum("n").over(per).alias("whole"))
-    added = run.where(F.col("upto") - F.col("n") < share * F.col("whole")).groupBy(*KEYS).agg(*(F.sum(c).alias(c) for c in ["n", *(f"t{i}" for i in range(5)), *(f"q{i}{j}" for i, j in PAIRS)]))
-    means = added.select(*KEYS, "n", *((F.col(f"t{i}") / F.col("n")).alias(f"m{i}") for i in range(5)), *((F.col(f"q{i}{j}") / F.col("n")).alias(f"q{i}{j}") for i, j in PAIRS))
-    cov = {(i, j): F.col(f"q{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}") for i, j in PAIRS}
-    return means.select(*KEYS, "n", *(f"m{i}" for i in range(5)), *((F.greatest(c, F.lit(0.0)) if i == j else c).alias(f"s{i}{j}") for (i, j), c in cov.items()))
+    run = binned.select("*", F.sum("k").over(per.orderBy("bin")).alias("upto"), F.sum("k").over(per).alias("n"))
+    added = run.where(F.col("upto") - F.col("k") < share * F.col("n")).groupBy(*KEYS).agg(F.first("n").alias("n"), *(F.sum(c).alias(c) for c in ["k", *(f"t{i}" for i in range(5)), *(f"q{i}{j}" for i, j in PAIRS)]))
+    return moments(added, CONSISTENCY)
 
 
 def inverse(est: DataFrame) -> DataFrame:
-    """Centre m0.. and the inverse of the lower Cholesky factor l00.. of the ridged scatter."""
-    held = est.select(*KEYS, "n", *(f"m{i}" for i in range(5)), *((F.col(f"s{i}{j}") + (RIDGE[i] if i == j else 0.0)).alias(f"s{i}{j}") for i, j in PAIRS))
+    """est with the inverse l00.. of the lower Cholesky factor of the ridged scatter, and its log determinant."""
+    keep = [c for c in est.columns if c not in SCATTER]
+    held = est.select(*keep, *SCATTER, *((F.col(f"s{i}{j}") + (RIDGE[i] if i == j else 0.0)).alias(f"r{i}{j}") for i, j in PAIRS))
     for i in range(5):  # factor
         for j in range(i + 1):
-            rest = reduce(lambda a, k: a - F.col(f"c{i}{k}") * F.col(f"c{j}{k}"), range(j), F.col(f"s{i}{j}"))  # noqa: B023
+            rest = reduce(lambda a, k: a - F.col(f"c{i}{k}") * F.col(f"c{j}{k}"), range(j), F.col(f"r{i}{j}"))  # noqa: B023
             held = held.withColumn(f"c{i}{j}", F.sqrt(F.greatest(rest, F.lit(RIDGE[i] / 16))) if i == j else rest / F.col(f"c{j}{j}"))
     for i in range(5):  # invert the factor
         for j in range(i + 1):
             held = held.withColumn(f"l{i}{j}", 1 / F.col(f"c{i}{i}") if i == j else -reduce(lambda a, b: a + b, [F.col(f"c{i}{k}") * F.col(f"l{k}{j}") for k in range(j, i)]) / F.col(f"c{i}{i}"))  # noqa: B023
-    return held.select(*KEYS, "n", *(f"m{i}" for i in range(5)), *(f"l{i}{j}" for i, j in PAIRS))
+    logdet = reduce(lambda a, b: a + b, [2 * F.log(f"c{i}{i}") for i in range(5)])
+    return held.select(*keep, *SCATTER, *(f"l{i}{j}" for i, j in PAIRS), logdet.alias("logdet"))
 
 
 def distance() -> F.Column:
@@ -101,48 +140,66 @@ def distance() -> F.Column:
     return reduce(lambda a, b: a + b, [p * p for p in parts])
 
 
-def estimates(rows: DataFrame) -> DataFrame:
-    """The minimum covariance determinant estimate of each group (KEYS) of rows with v1..v5, after STEPS concentration steps."""
-    spread = rows.groupBy(*KEYS).agg(F.count("*").alias("n"), *(F.percentile_approx(d, [0.25, 0.5, 0.75], 1000).alias(f"p{i}") for i, d in enumerate(DIMS)))
+def starts(rows: DataFrame) -> DataFrame:
+    """The first estimates of each group: 0 from median and quartiles, 1 from all rows, others from the rows of a hash's fifth, if there are any."""
+    spread = rows.groupBy("gid").agg(F.count("*").alias("n"), *(F.percentile_approx(d, [0.25, 0.5, 0.75], 1000).alias(f"p{i}") for i, d in enumerate(DIMS)))
     scale = [F.pow((F.col(f"p{i}")[2] - F.col(f"p{i}")[0]) / 1.349, 2) for i in range(5)]
-    est = spread.select(*KEYS, "n", *(F.col(f"p{i}")[1].alias(f"m{i}") for i in range(5)), *((scale[i] if i == j else F.lit(0.0)).alias(f"s{i}{j}") for i, j in PAIRS))
-    est = materialize(inverse(est), "estimates")
-    for _ in range(STEPS):
-        right = est.withColumnsRenamed({k: f"r_{k}" for k in KEYS})
-        held = rows.join(right, reduce(lambda x, y: x & y, [rows[k].eqNullSafe(right[f"r_{k}"]) for k in KEYS]))
-        est = materialize(inverse(trimmed_moments(held.select(*KEYS, *DIMS, distance().alias("d")), F.col("d"), HALF)), "estimates")
-    return est
-
-
-def judge(stats: DataFrame) -> DataFrame:
-    """vectors(stats), with distance (squared) and kept. stats must be written already, with lang and source."""
-    rows = vectors(stats)
-    # level 1 is a row's own group, level 0 all rows together
-    own = F.struct(F.lit(1).alias("level"), "lang", "source")
-    whole = F.struct(F.lit(0).alias("level"), F.lit(None).cast("string").alias("lang"), F.lit(None).cast("string").alias("source"))
-    usable = rows.where("not base_failed").select(F.explode(F.array(own, whole)).alias("g"), *DIMS).select("g.*", *DIMS)
-    est = estimates(usable).where((F.col("level") == 0) | (F.col("n") >= HALF * MIN_GROUP))
-    fields = [c for c in est.columns if c not in (*KEYS, "n")]
-    large = est.where("level = 1").select(F.lit(1).alias("e_level"), F.col("lang").alias("e_lang"), F.col("source").alias("e_source"))
-    rows = rows.join(large, rows["lang"].eqNullSafe(large["e_lang"]) & rows["source"].eqNullSafe(large["e_source"]), "left").select(*(rows[c] for c in rows.columns), F.coalesce("e_level", F.lit(0)).alias("level"))
-    est = est.select(*(F.col(k).alias(f"g_{k}") for k in KEYS), *fields)
-    mine = lambda c: F.when(rows["level"] == 1, rows[c])
-    both = rows.join(est, (rows["level"] == est["g_level"]) & mine("lang").eqNullSafe(est["g_lang"]) & mine("source").eqNullSafe(est["g_source"]), "left")
-    names = [c for c in rows.columns if c != "level"]
-    return both.select(*(rows[c] for c in names), distance().alias("distance")).withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= LIMIT, F.lit(True)))
+    middle = spread.select("gid", F.lit(0).alias("start"), "n", *(F.col(f"p{i}")[1].alias(f"m{i}") for i in range(5)), *((scale[i] if i == j else F.lit(0.0)).alias(f"s{i}{j}") for i, j in PAIRS))
+    which = F.filter(F.array(*map(F.lit, range(1, STARTS))), lambda k: (k == 1) | (F.pmod(F.xxhash64(k, *DIMS), F.lit(5)) == 0))
+    some = rows.select("gid", F.explode(which).alias("start"), *DIMS).groupBy("gid", "start").agg(*sums()).withColumn("n", F.col("k"))
+    return middle.unionAll(moments(some, 1.0))
+
+
+def estimates(rows: DataFrame) -> DataFrame:
+    """gid, n, m0.., s00.. of the minimum covariance determinant estimate of each group gid of rows with v1..v5."""
+    est = materialize(inverse(starts(rows)), "estimates")
+    for step in range(STEPS):
+        held = rows.join(est.drop("n", *SCATTER, "logdet"), "gid")
+        new = materialize(inverse(trimmed_moments(held.select(*KEYS, *DIMS, distance().alias("d")), F.col("d"), SHARE)), "estimates")
+        fell = new.join(est.select(*KEYS, F.col("logdet").alias("was")), [*KEYS]).where(F.col("logdet") < F.col("was") - FALL)
+        ended = step > 0 and fell.isEmpty()
+        discard(est)
+        est = new
+        if ended:
+            break
+    best = est.groupBy("gid").agg(F.min_by(F.struct("n", *CENTRE, *SCATTER), F.struct("logdet", "start")).alias("e"))
+    return best.select("gid", "e.*")
+
+
+def shrunk(own: DataFrame, wide: DataFrame) -> DataFrame:
+    """own (with the gid of its wider group as `up`), mixed with that group's estimate as if it stood on PRIOR rows."""
+    fields = [*CENTRE, *SCATTER]
+    w = wide.select(F.col("gid").alias("_up"), *(F.col(c).alias(f"w_{c}") for c in fields))
+    mixed = lambda c: ((F.col("n") * F.col(c) + PRIOR * F.col(f"w_{c}")) / (F.col("n") + PRIOR)).alias(c)
+    return own.join(w, own["up"] == w["_up"]).select("gid", "n", *map(mixed, fields))
+
+
+def judge(rows: DataFrame) -> DataFrame:
+    """rows of vectors(), written already, with distance (squared) and kept."""
+    usable = rows.where("not base_failed")
+    est = materialize(estimates(usable.select(F.explode(F.array("g0", "g1", "g2")).alias("gid"), *DIMS)), "estimates")
+    tree = materialize(usable.select("g0", "g1", "g2").distinct(), "groups")
+    of = lambda low, up: est.join(tree.select(F.col(low).alias("gid"), F.col(up).alias("up")).distinct(), "gid")
+    languages = shrunk(of("g1", "g0"), est)
+    final = materialize(inverse(shrunk(of("g2", "g1"), languages)).drop("n", *SCATTER, "logdet").withColumnRenamed("gid", "_gid"), "final")
+    both = rows.join(final, rows["g2"] == final["_gid"], "left")
+    return both.select(*rows.columns, distance().alias("distance")).withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= LIMIT, F.lit(True)))
 
 
 def digest(docs: DataFrame) -> DataFrame:
     """The contract's columns; further ones are the lines, the distance and the loud characters."""
-    stats = materialize(statistics(text_of(docs, "doc_id", "text", "lang", "source"), "doc_id", "lang", "source"), "statistics")
-    return judge(stats).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "n_loud", "distance")
+    rows = materialize(vectors(statistics(text_of(docs, "doc_id", "text", "lang", "source"), "doc_id", "lang", "source")), "statistics")
+    return judge(rows).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "n_loud", "distance")
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The documents, all columns, that are kept. Verdicts are joined by doc_id, text's hash, lang and source, so repeated rows stay as they are."""
-    names = [fresh_name(docs.columns, c) for c in ("row_hash", "bad_hash")]
-    mark = lambda: F.xxhash64("doc_id", "text", "lang", "source")
-    base = docs.select("doc_id", "text", "lang", "source").withColumn("_id", mark())
-    stats = materialize(statistics(base, "_id", "lang", "source"), "statistics")
-    bad = judge(stats).where("not kept").select(F.col("_id").alias(names[1])).distinct()
-    return docs.withColumn(names[0], mark()).join(bad, F.col(names[0]) == F.col(names[1]), "left_anti").drop(names[0])
+    """The documents, all columns, that are kept. Rows of equal text, lang and source have equal verdicts and are joined with them by
+    two hashes of these, so repeated rows stay or go together; null texts go, since they have no words."""
+    names = [fresh_name(docs.columns, c) for c in ("mark_1", "mark_2", "bad_1", "bad_2")]
+    a, b = row_marks(docs, "text", "lang", "source")
+    base = text_of(docs, "text", "lang", "source").withColumns({"_a": a, "_b": b})
+    rows = materialize(vectors(statistics(base, "_a", "_b", "lang", "source")), "statistics")
+    bad = judge(rows).where("not kept").select(F.col("_a").alias(names[2]), F.col("_b").alias(names[3])).distinct()
+    marked = docs.withColumns({names[0]: a, names[1]: b})
+    kept = marked.join(materialize(bad, "bad"), (F.col(names[0]) == F.col(names[2])) & (F.col(names[1]) == F.col(names[3])), "left_anti")
+    return kept.select(*(kept[f"`{c}`"] for c in docs.columns))
