@@ -1,7 +1,9 @@
 r"""Operator 1, secret scans by assignment-aware lexing.
 
 Base spans are fixed patterns (assign, access, hex). Beside them a small lexer reads source and configuration
-syntax into (name, literal) pairs, follows names that are set to other names, and scores every literal by the
+syntax into (name, literal) pairs: `=`, `:`, `:=` and `=>` after a bare, dotted, quoted or subscripted name, and quoted (with
+escapes, prefixes, joined parts or triple quotes) or bare literals, all of any length. It follows names that are set to other
+names, by the whole dotted name or else by its last part, in the order of the text, and scores every literal by the
 sensitive names that it reaches. Literals over the threshold are spans of the kind `literal`.
 
 Null text counts as empty and gives no spans. Rows are independent: repeated rows give repeated results, an empty
@@ -26,18 +28,20 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 OPERATOR = re.compile(r"=>|:=|(?<![=!<>:])[=:](?![=:])")
-NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_.-]*\Z")
+NAME_CHARACTERS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_.-")
 #: Quoted literals hold escapes; the runs are possessive, so that a missing end is found in one pass.
 QUOTED = r"""(?:"((?:[^"\\\n]|\\[^\n])++)"|'((?:[^'\\\n]|\\[^\n])++)')"""
-VALUE = re.compile(r"[\x20\t]*" + QUOTED)
+PREFIX = r"(?:[bBrRuUfF]{1,2}(?=[\"']))?"
+VALUE = re.compile(r"[\x20\t]*" + PREFIX + QUOTED)
+LONG = re.compile(r"[\x20\t]*" + PREFIX + r"""(?:\"{3}((?:[^"\\]|\\.|"(?!""))++)\"{3}|'{3}((?:[^'\\]|\\.|'(?!''))++)'{3})""", re.DOTALL)
 BLANK, BARE = re.compile(r"[\x20\t]*"), re.compile(r"""[^\s"'`,;(){}\[\]<>]*""")
 JOINED = re.compile(r"[\x20\t]*[+.][\x20\t]*" + QUOTED)
 IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_.-]*")
 #: How strongly a part of a name says that its value is secret.
 SENSITIVE = {"password": 1.0, "passwd": 1.0, "pwd": 0.9, "pass": 0.7, "passphrase": 1.0, "secret": 1.0, "token": 0.9, "apikey": 1.0, "credential": 0.9, "credentials": 0.9, "auth": 0.6, "bearer": 0.8, "private": 0.5, "access": 0.4, "key": 0.5, "signing": 0.4, "api": 0.4, "client": 0.1}
 PLACEHOLDER = re.compile(r"(?i)(?:your|example|change|dummy|sample|placeholder|redacted|x{4,}|\*{3,}|\$\{|%\(|<)")
-#: The longest name, and the least score of a reported literal.
-MAX_NAME, THRESHOLD = 128, 1.2
+#: The least score of a reported literal.
+THRESHOLD = 1.2
 
 
 def name_score(name: str) -> float:
@@ -55,33 +59,47 @@ def literal_score(value: str) -> float:
     return 0.4 * min(1.0, entropy / 3.5) + 0.3 * min(1.0, n / 16) + 0.1 * min(kinds, 3)
 
 
+def name_before(text: str, at: int) -> str:
+    """The name that ends before position at: bare or dotted, in quotes, or a subscript in quotes; empty if there is none."""
+    end = at
+    while end and text[end - 1] in " \t":
+        end -= 1
+    if end and text[end - 1] == "]":
+        end -= 1
+    if end and text[end - 1] in "\"'":
+        end -= 1
+    start = end
+    while start and text[start - 1] in NAME_CHARACTERS:
+        start -= 1
+    return text[start:end].lstrip("0123456789.-")
+
+
 def lex(text: str) -> list[tuple[str, str, list[tuple[int, int]], str | None]]:
     """(name, literal, spans, name that it is set to) for each assignment in text."""
-    pairs, run = [], 0  # the end of the last unquoted run, which all that begin within it share
+    pairs, run, inside = [], 0, 0  # the ends of the last unquoted run, which all that begin within it share, and of the last long literal
     for op in OPERATOR.finditer(text):
-        at = op.start()
-        left = text[max(0, at - MAX_NAME - 8) : at].rstrip(" \t")
-        left = left[:-1] if left[-1:] in ('"', "'") else left
-        name = NAME.search(left[-MAX_NAME:].replace("[", " ").split(" ")[-1].split("\n")[-1].lstrip("\"'${("))
+        if op.start() < inside:
+            continue
+        name = name_before(text, op.start())
         if not name:
             continue
-        if value := VALUE.match(text, op.end()):
-            kind = value.lastindex
+        kind, end = 3, op.end()
+        if value := LONG.match(text, end) or VALUE.match(text, end):
+            kind, end = value.lastindex, value.end()
             literal, spans = value.group(kind), [value.span(kind)]
+            inside = end if value.re is LONG else inside
+            while more := JOINED.match(text, end):
+                literal += more.group(more.lastindex)
+                spans.append(more.span(more.lastindex))
+                end = more.end()
         else:
-            start, kind = BLANK.match(text, op.end()).end(), 3
+            start = BLANK.match(text, end).end()
             run = run if start < run else BARE.match(text, start).end()
             if run == start:
                 continue
             literal, spans = text[start:run], [(start, run)]
-        if kind < 3:
-            end = value.end()
-            while more := JOINED.match(text, end):
-                literal += more.group(more.lastindex)
-                spans.append(more.span(more.lastindex))
-                end = more.end()
         bare = literal.lstrip("$") if kind == 3 else ""
-        pairs.append((name.group(), literal, spans, bare if IDENTIFIER.fullmatch(bare) else None))
+        pairs.append((name, literal, spans, bare if IDENTIFIER.fullmatch(bare) else None))
     return pairs
 
 
@@ -92,11 +110,12 @@ def literal_spans(text: str) -> list[tuple[int, int, str]]:
     known: dict[str, tuple[str, list[tuple[int, int]]]] = {}
     found: set[tuple[int, int, str]] = set()
     for name, literal, spans, to in lex(text):
-        if to is not None and to in known:
-            literal, spans = known[to]
+        source = None if to is None else known.get(to) or known.get(to.rpartition(".")[2])
+        if source:
+            literal, spans = source
         elif to is not None and to.isalpha():
             continue  # an unknown name or a plain word is no literal
-        known[name] = (literal, spans)
+        known[name] = known[name.rpartition(".")[2]] = (literal, spans)
         sure = name_score(name)
         if sure >= 0.5 and sure + literal_score(literal) >= THRESHOLD and literal_score(literal) > 0:
             found |= {(s, e, "literal") for s, e in spans}
