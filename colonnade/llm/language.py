@@ -1,11 +1,12 @@
 r"""Operator 6, language identification by hierarchical discrimination.
 
 A linear model first predicts the language family; within it, one-versus-one linear support vector machines separate
-the related languages, by votes and then margins. Features are hashed letter n-grams (one to three characters with
+the related languages, by votes and then margins. Features are hashed letter n-grams (one to three code points, with
 word ends) of the whole lower-cased text, as shares of the text's length.
 
-Training takes at most MAX_TRAIN rows a language, chosen by a hash of doc_id, of at most MAX_TRAIN_CHARS characters
-each; rows of the held-out fold are never seen. lang, source and doc_id are no inputs of a prediction.
+Every language with a label is learned. Training takes at most MAX_TRAIN different rows a language, those with the least hash of
+doc_id and text, of at most MAX_TRAIN_CHARS characters each; rows of the held-out fold are never seen. lang, source and doc_id
+are no inputs of a prediction.
 
 Null text and text without a letter give `und` with score 0. Without any labelled row every text gives `und`. A
 language of an unknown family is a family of its own. Rows are independent, so repeated rows give repeated results; only the named
@@ -14,11 +15,12 @@ columns are read.
 
 from __future__ import annotations
 
-import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,55 +33,79 @@ FAMILIES = {
 }
 FAMILY_OF = {code: f for f, codes in FAMILIES.items() for code in codes.split()}
 #: Bounds of the training sample, bits of the feature table, and the held-out fold of crc32(doc_id) mod 4.
-MAX_TRAIN, MAX_TRAIN_CHARS, MAX_LANGS, BITS, FOLD = 400, 20_000, 200, 12, 2
-LETTER = re.compile(r"[^\W\d_]")
-_fold = np.arange(256, dtype=np.uint8)
-_fold[65:91] = _fold[97:123]
-_fold[:65] = _fold[91:97] = _fold[123:128] = 32  # digits, signs and spaces are one separator
-
-
-def gram_slots(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
-    """Feature slots of the 1-, 2- and 3-byte-grams that end at each byte; slots of the three kinds are apart."""
-    b = _fold[data].astype(np.uint32)
-    prev, two = np.full(len(b), 32, np.uint32), np.full(len(b), 32, np.uint32)
-    prev[1:], two[2:] = b[:-1], b[:-2]
-    first = offsets[:-1][offsets[:-1] < len(b)]
+MAX_TRAIN, MAX_TRAIN_CHARS, FOLD = 400, 20_000, 2
+#: Bits of the feature tables of one, two and three code points.
+BITS = (10, 12, 13)
+LETTER = regex.compile(r"\p{L}")
+DIM = sum(1 << b for b in BITS)
+
+
+def code_points(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of all lower-cased texts, ASCII but a-z as spaces, and the n + 1 offsets of the rows; null counts as empty."""
+    low = pc.utf8_lower(column.fill_null("").cast(pa.large_string()))
+    sizes = np.asarray(pc.utf8_length(low), np.int64)
+    data, _ = utf8(low)
+    points = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), "<u4")
+    signs = (points < 97) | (points > 122) & (points < 128)
+    return np.where(signs, np.uint32(32), points), np.concatenate([[0], np.cumsum(sizes)])
+
+
+def gram_slots(points: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+    """Feature slots of the runs of one, two and three code points that end at each one; slots of the three kinds are apart."""
+    prev, two = np.full(len(points), 32, np.uint32), np.full(len(points), 32, np.uint32)
+    prev[1:], two[2:] = points[:-1], points[:-2]
+    first = offsets[:-1][offsets[:-1] < len(points)]
     prev[first] = two[first] = 32
     second = first + 1
-    two[second[second < len(b)]] = 32
-    mask, size = np.uint32((1 << BITS) - 1), 1 << BITS
-    pair = prev * np.uint32(256) + b
-    triple = ((two * np.uint32(65536) + pair) * np.uint32(2654435761)) >> np.uint32(32 - BITS)
-    return [b, 256 + (pair & mask), 256 + size + (triple & mask)]
-
-
-DIM = 256 + 2 * (1 << BITS)
-
-
-def features(texts: list[str]) -> np.ndarray:
-    """Dense shares, for training on a bounded sample."""
-    out = np.zeros((len(texts), DIM), np.float32)
-    for i, t in enumerate(texts):
-        data, offsets = utf8(pa.array([t], pa.string()))
-        for slots in gram_slots(data, offsets):
-            out[i] += np.bincount(slots, minlength=DIM) / max(1, len(data))
-    return out
-
-
-def svm(x: np.ndarray, y: np.ndarray, epochs: int = 30, c: float = 1e-3, seed: int = 7) -> tuple[np.ndarray, float]:
-    """A linear support vector machine by averaged subgradient steps; y is -1 or 1."""
-    rng, w, b = np.random.default_rng(seed), np.zeros(x.shape[1], np.float32), 0.0
+    two[second[second < len(points)]] = 32
+    k = np.uint32(2654435761)
+    pair = (prev * k ^ points) * k
+    three = ((two * k ^ prev) * k ^ points) * k
+    slot = lambda h, bits: h >> np.uint32(32 - bits)
+    return [slot(points * k, BITS[0]), (1 << BITS[0]) + slot(pair, BITS[1]), (1 << BITS[0]) + (1 << BITS[1]) + slot(three, BITS[2])]
+
+
+class Sample:
+    """Shares of the texts' features, sparse: row i has the slots at[i] with the shares of[i]."""
+
+    def __init__(self, texts: list[str]) -> None:
+        self.at, self.of = [], []
+        for t in texts:
+            points, offsets = code_points(pa.array([t], pa.string()))
+            slot, n = np.unique(np.concatenate(gram_slots(points, offsets)), return_counts=True)
+            self.at.append(slot)
+            self.of.append((n / max(1, len(points))).astype(np.float32))
+
+    def scale(self) -> np.ndarray:
+        """What brings each feature to a like spread."""
+        one, two, n = np.zeros(DIM), np.zeros(DIM), max(1, len(self.at))
+        for at, of in zip(self.at, self.of, strict=True):
+            one[at] += of
+            two[at] += of.astype(np.float64) ** 2
+        return np.minimum(1 / (np.sqrt(np.maximum(0, two / n - (one / n) ** 2)) + 1e-3), 300.0).astype(np.float32)
+
+    def dense(self, rows: np.ndarray, scale: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(rows), DIM), np.float32)
+        for k, i in enumerate(rows):
+            out[k, self.at[i]] = self.of[i] * scale[self.at[i]]
+        return out
+
+
+def svm(sample: Sample, scale: np.ndarray, rows: np.ndarray, y: np.ndarray, epochs: int = 30, c: float = 1e-3, seed: int = 7) -> tuple[np.ndarray, float]:
+    """A linear support vector machine by averaged subgradient steps over some rows of the sample; y is -1 or 1 for each of these."""
+    rng, w, b = np.random.default_rng(seed), np.zeros(DIM, np.float32), 0.0
     keep, kept_b, n, step = np.zeros_like(w), 0.0, 0, 0
     weight = np.where(y > 0, len(y) / (2 * max(1, (y > 0).sum())), len(y) / (2 * max(1, (y < 0).sum())))
     for epoch in range(epochs):
-        for lo in range(0, len(y), 32):
+        for _ in range(0, len(y), 32):
             some = rng.integers(0, len(y), 32)
+            x = sample.dense(rows[some], scale)
             step += 1
             rate = 4.0 / (1 + 0.01 * step)
-            bad = some[y[some] * (x[some] @ w + b) < 1]
+            bad = y[some] * (x @ w + b) < 1
             w *= 1 - min(0.5, rate * c)
-            if len(bad):
-                g = (y[bad] * weight[bad]).astype(np.float32)
+            if bad.any():
+                g = (y[some[bad]] * weight[some[bad]]).astype(np.float32)
                 w += rate * (g @ x[bad]) / 32
                 b += float(rate * 0.1 * g.sum() / 32)
             if epoch >= epochs // 2:
@@ -96,25 +122,23 @@ class Hierarchy:
         self.families = sorted(set(family))
         self.members = [[i for i, f in enumerate(family) if f == g] for g in self.families]
         y = np.array([self.langs.index(x) for x in langs])
-        x = features(texts)
-        self.scale = 1.0 / (x.std(axis=0) + 1e-3)
-        self.scale = np.minimum(self.scale, 300.0).astype(np.float32)
-        x *= self.scale
+        sample, everyone = Sample(texts), np.arange(len(texts))
+        self.scale = sample.scale()
         machines, self.pairs = [], []
         group = np.array([self.families.index(f) for f in family])[y] if len(y) else y
         for g in range(len(self.families)) if len(self.families) > 1 else ():
-            machines.append(svm(x, np.where(group == g, 1, -1)))
+            machines.append(svm(sample, self.scale, everyone, np.where(group == g, 1, -1)))
         for members in self.members:
             for i, a in enumerate(members):
                 for b in members[i + 1 :]:
-                    some = (y == a) | (y == b)
+                    some = np.flatnonzero((y == a) | (y == b))
                     self.pairs.append((a, b))
-                    machines.append(svm(x[some], np.where(y[some] == a, 1, -1)))
+                    machines.append(svm(sample, self.scale, some, np.where(y[some] == a, 1, -1)))
         self.w = np.stack([m[0] * self.scale for m in machines], axis=1) if machines else np.zeros((DIM, 0), np.float32)
         self.b = np.array([m[1] for m in machines], np.float32)
 
     def predict(self, column: pa.Array) -> tuple[list[str], np.ndarray]:
-        data, offsets = utf8(column)
+        data, offsets = code_points(column)
         n, size = len(column), np.maximum(1, np.diff(offsets)).astype(np.float64)
         margins = np.zeros((n, self.w.shape[1]))
         full = np.diff(offsets) > 0
@@ -149,13 +173,14 @@ def train(docs: DataFrame, fold: int | None = FOLD) -> Hierarchy | None:
     rows = text_of(docs, "doc_id", "text", "lang").where("text is not null and lang is not null")
     rows = rows.where(F.coalesce(fold_of(F.col("doc_id")) != fold, F.lit(False))) if fold is not None else rows
     rows = rows.where(F.length("text") <= MAX_TRAIN_CHARS)
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()}
+    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row a language
     if not counts:
         return None
-    share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, 1.3 * MAX_TRAIN / n)))])
-    spot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    some = rows.where(spot < share[F.col("lang")]).select("lang", "text", spot.alias("spot"), "doc_id").limit(2 * MAX_TRAIN * len(counts)).toPandas().sort_values(["spot", "doc_id", "text"])
-    some = some.groupby("lang").head(MAX_TRAIN)
+    # a little over MAX_TRAIN rows a language pass, repeated ones as one; pairs of a language and the greatest hash that may pass
+    spot = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
+    share = F.create_map(*[x for k, n in sorted(counts.items()) for x in (F.lit(k), F.lit(min(1.0, 1.3 * MAX_TRAIN / n + 40 / n)))])
+    some = rows.select("lang", "text", spot.alias("spot")).where(F.col("spot") < share[F.col("lang")]).distinct()
+    some = some.toPandas().sort_values(["spot", "text"]).groupby("lang").head(MAX_TRAIN)
     return Hierarchy(list(some["lang"]), list(some["text"]))
 
 
