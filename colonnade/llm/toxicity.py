@@ -2,13 +2,15 @@ r"""Operator 10, toxicity by cumulative-link ordinal regression.
 
 P(grade <= k) = sigmoid(threshold_k - w.x): one weight vector w over sparse word features serves all ordered
 thresholds, and the result is the expected severity, the sum of P(grade > k). Features are whether a text holds a
-word, or a word that begins with some 4 to 7 bytes (stems of inflected words); they are kept by
-a likelihood-ratio test of association with the label (at least MIN_RATIO) and log odds of at least MIN_ODDS; a word of no clean row passes from 12 toxic
-rows of equally many toxic and clean ones.
+word, or a word that begins with some 4 to 7 bytes (stems of inflected words); they speak for or against toxicity and are kept by
+a likelihood-ratio test of association with the label (at least MIN_RATIO) and log odds of at least MIN_ODDS either way; a word of no clean row
+passes from 12 toxic rows of equally many toxic and clean ones.
 
-Grades come from the labels. Where they only say toxic or not, toxic rows are split in two at the median number of
-their associated words, which gives grades 0, 1 and 2. Training takes at most MAX_TRAIN rows of each label, chosen
-by a hash of doc_id and joined by a broadcast of that bounded size; scoring takes every row and whole texts.
+Grades come from the labels where these are graded. Where they only say toxic or not, toxic rows are graded 1 and 2 by cross-fitting:
+the rows are dealt into FOLDS folds, the severity of each fold's toxic rows comes from a regression (and a choice of features) that has not seen the fold,
+and those over the median are grade 2. Training takes at most MAX_TRAIN rows of each label, chosen by a hash of
+doc_id and joined by a broadcast of that bounded size, one text of each doc_id (that of the least hash); only counts of features and, of each
+row, the chosen features come to the driver. Scoring takes every row and whole texts.
 
 Null and empty texts have no feature and are not toxic. A row with several labels has the greatest; null labels and null doc_ids
 train nothing. Without toxic labels nothing is toxic. Rows are independent; only the named columns are read.
@@ -21,10 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colonnade.llm.common import ALNUM, Words, map_batches, text_of
+from colonnade.llm.common import ALNUM, Words, map_batches, materialize, text_of
 
 #: Bounds of the training sample and of the vocabulary; the least documents, log odds and likelihood ratio of a kept word.
-MAX_TRAIN, MAX_TRAIN_CHARS, MAX_FEATURES, MIN_DOCS, MIN_ODDS, MIN_RATIO = 4_000, 20_000, 2_000, 5, 2.0, 16.0
+MAX_TRAIN, MAX_TRAIN_CHARS, MAX_FEATURES, MIN_DOCS, MIN_ODDS, MIN_RATIO, FOLDS = 4_000, 20_000, 2_000, 5, 2.0, 16.0, 2
 PREFIXES = (4, 5, 6, 7)
 
 
@@ -87,26 +89,44 @@ def distinct_features(column: pa.Array) -> list[np.ndarray]:
     return [np.unique(h[order[a:b]]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
+def chosen(a: np.ndarray, b: np.ndarray, n: int, m: int) -> np.ndarray:
+    """The features, by place, that a of n toxic and b of m clean rows hold and that are kept, strongest first."""
+    odds = np.log((a + 0.5) / (n - a + 0.5)) - np.log((b + 0.5) / (m - b + 0.5))
+    ratio = likelihood_ratio(a, b, n, m)
+    keep = np.flatnonzero((a + b >= MIN_DOCS) & (np.abs(odds) >= MIN_ODDS) & (ratio >= MIN_RATIO))
+    return keep[np.argsort(-ratio[keep], kind="stable")][:MAX_FEATURES]
+
+
+def graded(rows: list[np.ndarray], toxic: np.ndarray, folds: np.ndarray, kept: list[np.ndarray], n: int) -> np.ndarray:
+    """Grades 0, 1 and 2 of binary labels. kept: for each fold, the features chosen without it."""
+    severity = np.full(len(rows), -np.inf)
+    for fold, features in enumerate(kept):
+        allowed = np.zeros(n, bool)
+        allowed[features] = True
+        own = [r[allowed[r]] for r in rows]
+        others = [r for r, f in zip(own, folds, strict=True) if f != fold]
+        if not others or not toxic[folds != fold].any():
+            continue
+        fit = CumulativeLink(others, toxic[folds != fold].astype(np.int64), n)
+        mine = np.flatnonzero((folds == fold) & toxic)
+        severity[mine] = [fit.w[own[i]].sum() - fit.cuts[0] for i in mine]
+    middle = np.median(severity[toxic])
+    return toxic.astype(np.int64) + (toxic & (severity > middle))
+
+
 class Model:
-    def __init__(self, rows: list[np.ndarray], labels: np.ndarray) -> None:
-        words, count = np.unique(np.concatenate([*rows, np.zeros(0, np.uint64)]), return_counts=True)
-        words = words[count >= MIN_DOCS]
-        places = [self._places(words, r) for r in rows]
-        toxic = labels > 0
-        of = lambda some: np.bincount(np.concatenate([*(p for p, s in zip(places, some, strict=True) if s), np.zeros(0, np.int64)]).astype(np.int64), minlength=len(words))
-        a, b, n, m = of(toxic), of(~toxic), max(1, toxic.sum()), max(1, (~toxic).sum())
-        odds = np.log((a + 0.5) / (n - a + 0.5)) - np.log((b + 0.5) / (m - b + 0.5))
-        ratio = likelihood_ratio(a, b, n, m)
-        keep = np.flatnonzero((odds >= MIN_ODDS) & (ratio >= MIN_RATIO))
-        keep = keep[np.argsort(-ratio[keep], kind="stable")][:MAX_FEATURES]
-        self.words = np.sort(words[keep])
-        self.maybe = np.zeros(1 << 20, bool)  # by the first 20 bits, to look up few
-        self.maybe[self.words >> np.uint64(44)] = True
-        rows = [self._places(self.words, r) for r in rows]
+    """words: hashes of the features, sorted; rows: the features' places in each training row; kept: the places that the model uses
+    and, for each fold, those chosen without it."""
+
+    def __init__(self, words: np.ndarray, rows: list[np.ndarray], labels: np.ndarray, folds: np.ndarray, kept: list[np.ndarray]) -> None:
         grades = labels.astype(np.int64)
         if grades.max(initial=0) == 1:
-            held = np.array([len(r) for r in rows])
-            grades = grades + ((labels > 0) & (held > np.median(held[toxic]))).astype(np.int64)
+            grades = graded(rows, labels > 0, folds, kept[1:], len(words))
+        used = np.sort(kept[0])
+        self.words = words[used]
+        self.maybe = np.zeros(1 << 20, bool)  # by the first 20 bits, to look up few
+        self.maybe[self.words >> np.uint64(44)] = True
+        rows = [self._places(self.words, words[r]) for r in rows]
         self.fit = CumulativeLink(rows, grades, len(self.words)) if len(self.words) else None
 
     @staticmethod
@@ -137,19 +157,51 @@ class Model:
 
 def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     lab = text_of(labels, "doc_id", "toxic").where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("grade"))
-    chosen = None
-    for side in (lab.where("grade > 0"), lab.where("grade = 0")):
+    picked = None
+    for side in (lab.where("grade > 0"), lab.where("grade <= 0")):
         some = side.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_TRAIN)
-        chosen = some if chosen is None else chosen.union(some)
+        picked = some if picked is None else picked.union(some)
     texts = text_of(docs, "doc_id", "text").where(F.length("text") <= MAX_TRAIN_CHARS)
-    rows = texts.join(F.broadcast(chosen), "doc_id")  # at most 2 * MAX_TRAIN rows
+    rows = texts.join(F.broadcast(picked), "doc_id")  # at most 2 * MAX_TRAIN doc_ids
+    rows = rows.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("grade").alias("grade"))
+    rows = rows.select("doc_id", "text", F.greatest("grade", F.lit(0)).alias("grade"), F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(FOLDS)).cast("int").alias("fold"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.record_batch([batch.column(0), batch.column(2), pa.array([x.tobytes() for x in distinct_features(batch.column(1))], pa.binary())], names=["doc_id", "grade", "words"])
-
-    got = map_batches(rows.select("doc_id", "text", "grade"), run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, grade int, words binary").toPandas().sort_values(["doc_id", "words"], kind="stable")
-    grades = got["grade"].to_numpy()
-    return Model([np.frombuffer(x, np.uint64) for x in got["words"]], grades) if len(grades) and grades.max() > 0 else None
+        return pa.record_batch([batch.column(0), batch.column(2), batch.column(3), pa.array([x.view(np.int64) for x in distinct_features(batch.column(1))], pa.list_(pa.int64()))], names=["doc_id", "grade", "fold", "words"])
+
+    held = materialize(map_batches(rows, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, grade int, fold int, words array<bigint>"), "training")
+    side = (F.col("grade") > 0).alias("toxic")
+    sizes = {(r.toxic, r.fold): r.n for r in held.groupBy(side, "fold").agg(F.count("*").alias("n")).collect()}
+    if not sum(n for (t, _), n in sizes.items() if t):
+        return None
+    cells = [(t, f) for t in (True, False) for f in range(FOLDS)]
+    spread = held.select(side, "fold", F.explode("words").alias("word")).groupBy("word").agg(*(F.count_if((F.col("toxic") == t) & (F.col("fold") == f)).alias(f"c{int(t)}{f}") for t, f in cells), F.count("*").alias("n"))
+    # a feature that passes somewhere passes this bound too, which leaves few
+    a, b = (sum((F.col(f"c{int(t)}{f}") for f in range(1, FOLDS)), F.col(f"c{int(t)}0")) for t in (True, False))
+    n, m = (max(1, sum(sizes.get((t, f), 0) for f in range(FOLDS))) for t in (True, False))
+    apart = F.abs(F.log((a + 0.5) / (n - a + 0.5)) - F.log((b + 0.5) / (m - b + 0.5)))
+    got = spread.where((F.col("n") >= MIN_DOCS) & (apart >= MIN_ODDS / 2)).orderBy(F.desc(apart * F.sqrt(F.col("n"))), "word").limit(20 * MAX_FEATURES).toPandas().sort_values("word")
+    words = got["word"].to_numpy().astype(np.int64).view(np.uint64)
+    count = {c: got[f"c{int(c[0])}{c[1]}"].to_numpy() for c in cells}
+    kept = []
+    for out in (None, *range(FOLDS)):  # with all folds, then without each
+        inside = [f for f in range(FOLDS) if f != out]
+        kept.append(chosen(sum(count[True, f] for f in inside), sum(count[False, f] for f in inside), max(1, sum(sizes.get((True, f), 0) for f in inside)), max(1, sum(sizes.get((False, f), 0) for f in inside))))
+    union = np.unique(np.concatenate(kept))
+    kept = [np.searchsorted(union, k) for k in kept]
+    order = np.argsort(words[union])
+    words, back = words[union][order], np.argsort(order)
+    kept = [back[k] for k in kept]
+    asked = held.sparkSession.sparkContext.broadcast(words)  # at most (FOLDS + 1) * MAX_FEATURES
+
+    def places(batches):
+        for batch in batches:
+            column = batch.column(3)
+            found = [Model._places(asked.value, np.asarray(x, np.int64).view(np.uint64)) for x in column.to_numpy(zero_copy_only=False)]
+            yield pa.record_batch([batch.column(0), batch.column(1), batch.column(2), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "grade", "fold", "places"])
+
+    rows = held.mapInArrow(places, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, grade int, fold int, places array<bigint>").toPandas().sort_values("doc_id")
+    return Model(words, [np.asarray(x, np.int64) for x in rows["places"]], rows["grade"].to_numpy(), rows["fold"].to_numpy(), kept)
 
 
 def score_toxicity(docs: DataFrame, model: Model | None) -> DataFrame:
