@@ -1,10 +1,14 @@
 r"""Operator 4, personal data by bootstrapped contextual extraction, native.
 
 Base spans (email, ip, card, phone) come from fixed patterns. They are the seeds of a bootstrap: tokens that look like
-identifiers (five digits or more, or an @) are instances, the one and two words before them are lexical patterns, and
-(pattern, instance) pairs are the edges of a graph. In each round a pattern's confidence is the mean score of its instances
-and an instance's score is what its patterns make probable. Patterns that stay confident with enough seeds mark
-further instances as spans of the kind `context`.
+identifiers (three digits or more, or an @) are instances; the word before them, the two words before them, the word behind them and
+the words on both sides are lexical patterns, and (pattern, instance) pairs are the edges of a graph. In each round a pattern's
+confidence is the mean score of its instances, one added that is not personal, and an instance's score is what its patterns make
+probable. Instances that reach MIN_CONFIDENCE count as seeds in later rounds, so the bootstrap goes over several hops. Patterns that
+stay confident with enough seeds mark further instances as spans of the kind `context`.
+
+Context words come from the text itself, other identifiers included: the CONTEXT characters on either side of a token, in lower case,
+digits as 0, and of each word the WORD_CHARACTERS next to the token.
 
 Offsets are code points. A match is marked with a private character on both sides and the text is split there; that
 character in a text is first replaced by another one of its kind, which no pattern can match either. Everything is DataFrame expressions.
@@ -31,9 +35,9 @@ PATTERNS = {
 }
 OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
 IP = rf"^{OCTET}(?:\.{OCTET}){{3}}$"
-TOKEN = r"(?<![^\x20\x09-\x0D])(?=[^@\x20\x09-\x0D]*+@|(?:[^0-9\x20\x09-\x0D]*+[0-9]){5})[^\x20\x09-\x0D]++"
-#: Rounds; what a pattern needs to discover: seeds among its instances, and confidence.
-ROUNDS, MIN_SEEDS, MIN_CONFIDENCE = 3, 5, 0.8
+TOKEN = r"(?<![^\x20\x09-\x0D])(?=[^@\x20\x09-\x0D]*+@|(?:[^0-9\x20\x09-\x0D]*+[0-9]){3})[^\x20\x09-\x0D]++"
+#: Rounds; what a pattern needs to discover: seeds among its instances, and confidence; the characters on either side and of a word.
+ROUNDS, MIN_SEEDS, MIN_CONFIDENCE, CONTEXT, WORD_CHARACTERS = 4, 4, 0.8, 120, 40
 #: Pieces whose lengths are added up at once.
 STRIDE = 64
 
@@ -77,18 +81,22 @@ def base_spans(docs: DataFrame) -> DataFrame:
     only = {"email": "contains(_t, '@')", "phone": "contains(_t, '+')"}
     # a token without digits or @ in the whole text needs no search at all
     found = {k: f"if({only.get(k, '_d')}, {marked(p)}, null)" for k, p in PATTERNS.items()}
-    words = r"(?:([^\x20\x09-\x0D]+)[\x20\x09-\x0D]+)?+([^\x20\x09-\x0D]+)[\x20\x09-\x0D]*$"
-    left = f", 'c', lower(right(p[i - 1], 80)), 'w', {quoted(words)}"
+    # the text on either side: a few pieces, of which all but the nearest are tokens or what stands between them
+    near = lambda side, order: f"{side}(concat({', '.join(f'coalesce(get(p, i + ({k})), {chr(39) * 2})' for k in order)}), {CONTEXT})"
+    sides = f", 'a', {near('right', (-5, -4, -3, -2, -1))}, 'b', {near('left', (1, 2, 3, 4, 5))}"
     texts = texts.withColumn("_d", F.expr("_t rlike '[0-9]'"))
-    one = texts.select("doc_id", *(F.expr(v).alias(k) for k, v in found.items()), F.expr(f"if(_d or contains(_t, '@'), {marked(TOKEN, left)}, null)").alias("tokens"))
+    one = texts.select("doc_id", *(F.expr(v).alias(k) for k, v in found.items()), F.expr(f"if(_d or contains(_t, '@'), {marked(TOKEN, sides)}, null)").alias("tokens"))
     each = [f"transform(filter(coalesce({k}, array()), m -> {sound(k)}), m -> named_struct('o', {i}, 'kind', '{k}', 's', m.s, 'e', m.s + length(m.m)))" for i, k in enumerate(KINDS)]
     two = one.select("doc_id", F.expr(f"concat({', '.join(each)})").alias("base"), "tokens")
     head, trimmed = "length(regexp_extract(m.m, '^[^0-9A-Za-z]*', 0))", "regexp_replace(m.m, '^[^0-9A-Za-z]+|[^0-9A-Za-z]+$', '')"
-    last = "regexp_extract(m.c, '([^\\\\x20\\\\x09-\\\\x0D]+)[\\\\x20\\\\x09-\\\\x0D]*$', 1)"
-    both = "regexp_extract(m.c, '([^\\\\x20\\\\x09-\\\\x0D]+[\\\\x20\\\\x09-\\\\x0D]+[^\\\\x20\\\\x09-\\\\x0D]+)[\\\\x20\\\\x09-\\\\x0D]*$', 1)"
-    cands = f"transform(coalesce(tokens, array()), m -> named_struct('s', m.s + {head}, 'e', m.s + {head} + length({trimmed}), 'token', lower({trimmed}), 'p1', {last}, 'p2', regexp_replace({both}, '[\\\\x20\\\\x09-\\\\x0D]+', ' ')))"
+    clean = lambda x: f"regexp_replace(lower({x}), '[0-9]', '0')"
+    word = lambda of, n, cut: f"{cut}(coalesce(try_element_at({of}, {n}), ''), {WORD_CHARACTERS})"
+    split = lambda side: f"regexp_extract_all({clean('m.' + side)}, '[^\\\\x20\\\\x09-\\\\x0D]+', 0)"
+    made = f"named_struct('l1', {word('l', -1, 'right')}, 'l2', {word('l', -2, 'right')}, 'r1', {word('r', 1, 'left')})"
+    context = f"transform(array({split('a')}), l -> transform(array({split('b')}), r -> {made})[0])[0]"
+    cands = f"transform(coalesce(tokens, array()), m -> named_struct('s', m.s + {head}, 'e', m.s + {head} + length({trimmed}), 'token', lower({trimmed}), 'x', {context}))"
     three = two.select("doc_id", "base", F.expr(cands).alias("cands"))
-    return three.select("doc_id", "base", F.expr("transform(cands, c -> named_struct('s', c.s, 'e', c.e, 'token', c.token, 'p1', c.p1, 'p2', c.p2, 'seed', exists(base, b -> b.s < c.e and b.e > c.s)))").alias("cands"))
+    return three.select("doc_id", "base", F.expr("transform(cands, c -> named_struct('s', c.s, 'e', c.e, 'token', c.token, 'x', c.x, 'seed', exists(base, b -> b.s < c.e and b.e > c.s)))").alias("cands"))
 
 
 def confident_patterns(spots: DataFrame) -> DataFrame:
@@ -97,7 +105,7 @@ def confident_patterns(spots: DataFrame) -> DataFrame:
     scores = None
     for k in range(ROUNDS):
         known = edges.withColumn("score", F.col("seed").cast("double")) if scores is None else edges.join(scores, "token")
-        patterns = known.groupBy("pattern").agg((F.sum("score") / (F.count("*") + 1)).alias("confidence"), F.sum(F.col("seed").cast("long")).alias("seeds")).where(f"seeds >= {MIN_SEEDS}")
+        patterns = known.groupBy("pattern").agg((F.sum("score") / (F.count("*") + 1)).alias("confidence"), F.count_if(F.col("score") >= MIN_CONFIDENCE).alias("seeds")).where(f"seeds >= {MIN_SEEDS}")
         patterns = materialize(patterns, "patterns")
         if k + 1 < ROUNDS:
             held = edges.join(patterns, "pattern", "left")
@@ -110,7 +118,9 @@ def find_pii(docs: DataFrame) -> DataFrame:
     """doc_id and spans (array of o, kind, s, e; by kind and start) of every row; o is under 4 for base spans."""
     rows = materialize(base_spans(docs).select(F.monotonically_increasing_id().alias("row"), "doc_id", "base", "cands"), "spans")
     each = rows.where("size(cands) > 0").select("row", F.explode("cands").alias("c")).select("row", "c.*")
-    spots = each.select("row", "s", "e", "token", "seed", F.explode(F.array(F.concat(F.lit("1 "), "p1"), F.concat(F.lit("2 "), "p2"))).alias("pattern")).where("length(pattern) > 2 and token != ''")
+    l1, l2, r1 = (F.col(f"x.{k}") for k in ("l1", "l2", "r1"))
+    patterns = (F.when(l1 != "", F.concat_ws(" ", l1, F.lit("_"))), F.when(l2 != "", F.concat_ws(" ", l2, l1, F.lit("_"))), F.when(r1 != "", F.concat_ws(" ", F.lit("_"), r1)), F.when((l1 != "") & (r1 != ""), F.concat_ws(" ", l1, F.lit("_"), r1)))
+    spots = each.select("row", "s", "e", "token", "seed", F.explode(F.array(*patterns)).alias("pattern")).where("pattern is not null and token != ''")
     good = confident_patterns(spots).select("pattern")
     more = spots.where("not seed").join(good, "pattern").groupBy("row").agg(F.collect_set(F.struct(F.lit(len(KINDS)).alias("o"), F.lit("context").alias("kind"), "s", "e")).alias("more"))
     both = rows.select("row", "doc_id", "base").join(more, "row", "left")
@@ -123,4 +133,4 @@ def digest(docs: DataFrame) -> DataFrame:
     joined = lambda col: F.array_join(F.transform(col, lambda x: F.concat_ws(":", x["kind"], x["s"], x["e"])), ",")
     count = lambda k: F.size(F.filter("spans", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
     base = F.filter("spans", lambda x: x["o"] < len(KINDS))
-    return find_pii(docs).select("doc_id", *map(count, KINDS), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), count("context"))
+    return find_pii(docs).select("doc_id", *map(count, KINDS), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), count("context"), F.size("spans").cast("long").alias("n_spans"))
