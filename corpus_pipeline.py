@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return the columns
 of documents. SQL cannot express the estimates, signatures and tokenizer of the stages, so ORACLE_SQL is None and the stages
-are tested against brute force.
+are tested against brute force. How a stage treats nulls, ties and repeated rows stands with its operator's function.
 """
 
 from __future__ import annotations
@@ -16,23 +16,28 @@ ORACLE_SQL = None
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rule or the estimates of their group reject go; null and short texts are among them."""
     return quality.keep_good(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each class of near duplicates stays, that of the least doc_id."""
     return near_dup.drop_near_duplicates(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which eight consecutive words of any benchmark item (or a whole shorter one) occur go."""
     return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as their source's weight asks for, in blocks that hold all sources in these weights."""
     return mixing.mix_sources(docs)
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return token_binary.digest(docs)
+    """Shards in the order of the mixture's table, so that its blocks reach the output; a table that is in no file has no order and goes by doc_id."""
+    return token_binary.digest(docs, table_order=bool(docs.inputFiles()))
 
 
 STAGES = [
