@@ -114,13 +114,12 @@ def mix_sources(docs: DataFrame, **how) -> DataFrame:
     """The documents, all columns, as often as the mixture has them, in its order: partition after partition, by block and by spot within it.
 
     Rows that are equal in all columns can stand for each other, so one of them meets the places of all of them."""
-    names = [fresh_name(docs.columns, c) for c in ("first_mark", "second_mark", "block_no", "spot_no", "row_of")]
-    a, b, block, spot, held = names
-    found = materialize(places(docs, **how).select(F.col("mark_a").alias("m"), F.col("mark_b").alias("n"), F.col("block").alias(block), F.col("spot").alias(spot)), "places")
+    a, b, m, n, block, spot, held = (fresh_name(docs.columns, c) for c in ("mark_1", "mark_2", "found_1", "found_2", "block_no", "spot_no", "row_of"))
+    found = materialize(places(docs, **how).select(F.col("mark_a").alias(m), F.col("mark_b").alias(n), F.col("block").alias(block), F.col("spot").alias(spot)), "places")
     mark_a, mark_b = row_marks(docs)
     marked = docs.withColumns({a: mark_a, b: mark_b})
-    again = materialize(marked.groupBy(a, b).agg(F.count("*").alias("n")).where("n > 1").select(F.col(a).alias("m"), F.col(b).alias("n")), "repeated")
-    same = (F.col(a) == F.col("m")) & (F.col(b) == F.col("n"))
+    again = materialize(marked.groupBy(a, b).agg(F.count("*").alias(held)).where(F.col(held) > 1).select(F.col(a).alias(m), F.col(b).alias(n)), "repeated")
+    same = (F.col(a) == F.col(m)) & (F.col(b) == F.col(n))
     if not again.isEmpty():
         once = marked.join(again, same, "left_semi").groupBy(a, b).agg(F.first(F.struct(*(marked[f"`{c}`"] for c in docs.columns))).alias(held))
         marked = marked.join(again, same, "left_anti").unionAll(once.select(*(F.col(held)[c].alias(c) for c in docs.columns), a, b))

@@ -151,16 +151,22 @@ def starts(rows: DataFrame) -> DataFrame:
 
 
 def estimates(rows: DataFrame) -> DataFrame:
-    """gid, n, m0.., s00.. of the minimum covariance determinant estimate of each group gid of rows with v1..v5."""
-    est = materialize(inverse(starts(rows)), "estimates")
+    """gid, n, m0.., s00.. of the minimum covariance determinant estimate of each group gid of rows with v1..v5.
+
+    Each start ends by itself, when a step does not lower its determinant any more, and takes no part in further steps."""
+    est = materialize(inverse(starts(rows)).withColumn("falls", F.lit(True)), "estimates")
+    fields = [c for c in est.columns if c not in KEYS]
     for step in range(STEPS):
-        held = rows.join(est.drop("n", *SCATTER, "logdet"), "gid")
-        new = materialize(inverse(trimmed_moments(held.select(*KEYS, *DIMS, distance().alias("d")), F.col("d"), SHARE)), "estimates")
-        fell = new.join(est.select(*KEYS, F.col("logdet").alias("was")), [*KEYS]).where(F.col("logdet") < F.col("was") - FALL)
-        ended = step > 0 and fell.isEmpty()
-        discard(est)
-        est = new
-        if ended:
+        moving = est.where("falls").drop("n", *SCATTER, "logdet", "falls")
+        held = rows.join(moving, "gid")
+        new = inverse(trimmed_moments(held.select(*KEYS, *DIMS, distance().alias("d")), F.col("d"), SHARE)).withColumn("falls", F.lit(True))
+        if step:
+            found = new.select(*KEYS, F.struct(*(F.col(c) for c in fields)).alias("new"))
+            better = F.coalesce(F.col("new.logdet") < F.col("logdet") - FALL, F.lit(False))
+            new = est.join(found, [*KEYS], "left").select(*KEYS, *(F.when(better, F.col(f"new.{c}")).otherwise(F.lit(False) if c == "falls" else F.col(c)).alias(c) for c in fields))
+        was, est = est, materialize(new, "estimates")
+        discard(was)
+        if step and est.where("falls").isEmpty():
             break
     best = est.groupBy("gid").agg(F.min_by(F.struct("n", *CENTRE, *SCATTER), F.struct("logdet", "start")).alias("e"))
     return best.select("gid", "e.*")
