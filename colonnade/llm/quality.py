@@ -22,13 +22,15 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from colonnade.llm.common import discard, fresh_name, materialize, row_marks, text_of
+from colonnade.llm.common import discard, materialize, text_of
 
 SPACES, SYMBOLS = r"[\x20\x09-\x0D]+", r"[^#*$%&|<>]+"
 MIN_WORDS, MAX_REPEAT = 50, 50
 DIMS = ("v1", "v2", "v3", "v4", "v5")
 #: Starts, the most concentration steps, share of rows kept in a step, bins a unit of a log distance, rows that a wider estimate counts as.
 STARTS, STEPS, SHARE, BINS, PRIOR = 4, 12, 0.75, 32, 30
+#: Estimates (of some 200 bytes) that are broadcast at most, and the parts of a group beyond that.
+MAX_BROADCAST, SALTS = 50_000, 32
 #: A fall of a log determinant that counts, and the share of good rows that the limit may reject.
 FALL, ALPHA = 1e-3, 1e-6
 #: Added to each scatter's diagonal: the squared spread below which a statistic does not tell documents apart.
@@ -140,6 +142,17 @@ def distance() -> F.Column:
     return reduce(lambda a, b: a + b, [p * p for p in parts])
 
 
+def meet(rows: DataFrame, group: str, est: DataFrame) -> DataFrame:
+    """rows joined with the estimates (gid, ...) of their group. A few estimates are broadcast; more meet the rows in a join in which
+    each group is split into SALTS parts, so that a group of any size is spread out."""
+    est = est.withColumnRenamed("gid", "_gid")
+    if est.count() <= MAX_BROADCAST:
+        return rows.join(F.broadcast(est), rows[group] == est["_gid"]).drop("_gid")
+    some = rows.withColumn("_salt", F.pmod(F.xxhash64(*DIMS), F.lit(SALTS)))
+    each = est.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return some.join(each, (some[group] == each["_gid"]) & (some["_salt"] == each["_part"])).drop("_gid", "_salt", "_part")
+
+
 def starts(rows: DataFrame) -> DataFrame:
     """The first estimates of each group: 0 from median and quartiles, 1 from all rows, others from the rows of a hash's fifth, if there are any."""
     spread = rows.groupBy("gid").agg(F.count("*").alias("n"), *(F.percentile_approx(d, [0.25, 0.5, 0.75], 1000).alias(f"p{i}") for i, d in enumerate(DIMS)))
@@ -157,8 +170,7 @@ def estimates(rows: DataFrame) -> DataFrame:
     est = materialize(inverse(starts(rows)).withColumn("falls", F.lit(True)), "estimates")
     fields = [c for c in est.columns if c not in KEYS]
     for step in range(STEPS):
-        moving = est.where("falls").drop("n", *SCATTER, "logdet", "falls")
-        held = rows.join(moving, "gid")
+        held = meet(rows, "gid", est.where("falls").drop("n", *SCATTER, "logdet", "falls"))
         new = inverse(trimmed_moments(held.select(*KEYS, *DIMS, distance().alias("d")), F.col("d"), SHARE)).withColumn("falls", F.lit(True))
         if step:
             found = new.select(*KEYS, F.struct(*(F.col(c) for c in fields)).alias("new"))
@@ -187,9 +199,10 @@ def judge(rows: DataFrame) -> DataFrame:
     tree = materialize(usable.select("g0", "g1", "g2").distinct(), "groups")
     of = lambda low, up: est.join(tree.select(F.col(low).alias("gid"), F.col(up).alias("up")).distinct(), "gid")
     languages = shrunk(of("g1", "g0"), est)
-    final = materialize(inverse(shrunk(of("g2", "g1"), languages)).drop("n", *SCATTER, "logdet").withColumnRenamed("gid", "_gid"), "final")
-    both = rows.join(final, rows["g2"] == final["_gid"], "left")
-    return both.select(*rows.columns, distance().alias("distance")).withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= LIMIT, F.lit(True)))
+    final = materialize(inverse(shrunk(of("g2", "g1"), languages)).drop("n", *SCATTER, "logdet"), "final")
+    known = meet(rows.where("not base_failed"), "g2", final).select(*(rows[c] for c in rows.columns), distance().alias("distance"))
+    failed = rows.where("base_failed").select("*", F.lit(None).cast("double").alias("distance"))
+    return known.unionAll(failed).withColumn("kept", ~F.col("base_failed") & (F.col("distance") <= LIMIT)).withColumn("kept", F.coalesce("kept", F.lit(False)))
 
 
 def digest(docs: DataFrame) -> DataFrame:
@@ -199,13 +212,8 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The documents, all columns, that are kept. Rows of equal text, lang and source have equal verdicts and are joined with them by
-    two hashes of these, so repeated rows stay or go together; null texts go, since they have no words."""
-    names = [fresh_name(docs.columns, c) for c in ("mark_1", "mark_2", "bad_1", "bad_2")]
-    a, b = row_marks(docs, "text", "lang", "source")
-    base = text_of(docs, "text", "lang", "source").withColumns({"_a": a, "_b": b})
-    rows = materialize(vectors(statistics(base, "_a", "_b", "lang", "source")), "statistics")
-    bad = judge(rows).where("not kept").select(F.col("_a").alias(names[2]), F.col("_b").alias(names[3])).distinct()
-    marked = docs.withColumns({names[0]: a, names[1]: b})
-    kept = marked.join(materialize(bad, "bad"), (F.col(names[0]) == F.col(names[2])) & (F.col(names[1]) == F.col(names[3])), "left_anti")
-    return kept.select(*(kept[f"`{c}`"] for c in docs.columns))
+    """The documents, all columns, that are kept; repeated rows stay or go together, null texts go, since they have no words. Each row is
+    written beside its statistics, so that its verdict needs no join with it."""
+    whole = docs.select(docs["text"], docs["lang"], docs["source"], F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("_row"))
+    rows = materialize(vectors(statistics(whole, "_row", "lang", "source")), "statistics")
+    return judge(rows).where("kept").select(*(F.col("_row")[c].alias(c) for c in docs.columns))
