@@ -282,7 +282,7 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     mark_a, mark_b = row_marks(docs, "doc_id", "text")
     marked, same = docs.withColumns({a: mark_a, b: mark_b}), (F.col(a) == F.col(c)) & (F.col(b) == F.col(d))
     columns = lambda df: [df[f"`{x}`"] for x in docs.columns]
-    out = marked.join(verdicts.drop("kept"), same, "left_anti")
+    out = marked.join(verdicts.drop("kept").hint("merge"), same, "left_anti")  # verdicts grow with the documents
     again = verdicts.where("kept").drop("kept")
     if again.isEmpty():
         return out.select(*columns(out))
