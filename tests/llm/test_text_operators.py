@@ -182,8 +182,10 @@ def numpy_estimates(x: np.ndarray, starts: list[tuple[np.ndarray, np.ndarray]])
     return min(found, key=lambda f: f[0])[1:]
 
 
-def test_quality_matches_numpy(spark):
+@pytest.mark.parametrize("broadcast", [quality.MAX_BROADCAST, 0])
+def test_quality_matches_numpy(spark, monkeypatch, broadcast):
     """Verdicts of groups of 5 to 500 rows, with planted outliers, against a plain estimate in numpy with the same shrinkage."""
+    monkeypatch.setattr(quality, "MAX_BROADCAST", broadcast)
     rng, rows = np.random.default_rng(4), []
     for lang, source, n in (("en", "a", 500), ("en", "b", 60), ("en", None, 5), ("fr", "a", 25), (None, "a", 9)):
         x = rng.normal(size=(n, 5)) * [0.2, 0.1, 0.1, 0.1, 0.1] + rng.normal(size=5)
