@@ -12,25 +12,26 @@ from pyspark.sql import DataFrame, SparkSession
 
 from colonnade import schema as schemas
 from colonnade import session
+from colonnade.operators import batch
 from colonnade.sources import csv_io, rowgroup_file, store
 
 
 def import_csv(spark: SparkSession, schema_path: str, data_path: str, output: str, single: bool = False) -> int:
-    """CSV to a row-group file or folder if output ends in .iyx, else to a Parquet store. Every cell is converted; an error leaves no output. The number of rows."""
-    rows = csv_io.read(spark, data_path, schemas.load(spark, schema_path))
+    """CSV to a row-group file or folder if output ends in .iyx, else to a Parquet store. Every cell is converted; an error leaves no output. The number of rows, counted as they are written."""
+    rows, seen = batch.counted(csv_io.read(spark, data_path, schemas.load(spark, schema_path)))
     if output.endswith(".iyx"):
         rowgroup_file.write(rows, output, single=single)
     else:
         store.write(rows, output, mode="overwrite")
-    return open_table(spark, output).count()
+    return seen.get["rows"]
 
 
 def export_csv(spark: SparkSession, source: str, data_path: str, schema_path: str, raw_times: bool = False, single: bool = False) -> int:
-    """A store or row-group file to CSV and a schema file. The number of rows."""
-    rows = open_table(spark, source)
+    """A store or row-group file to CSV and a schema file. The number of rows, counted as they are written."""
+    rows, seen = batch.counted(open_table(spark, source))
     schemas.save(spark, rows.schema, schema_path)
     csv_io.write(rows, data_path, raw_times=raw_times, single=single)
-    return rows.count()
+    return seen.get["rows"]
 
 
 def open_table(spark: SparkSession, path: str) -> DataFrame:

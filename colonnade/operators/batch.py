@@ -6,7 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -55,6 +55,17 @@ def append_row(df: DataFrame, fields: Sequence[str]) -> DataFrame:
     return df.unionAll(row)
 
 
+def is_full(df: DataFrame, capacity: int) -> bool:
+    """Whether a batch of so many rows would be full; no more rows than that are looked at."""
+    return df.limit(capacity).count() >= capacity
+
+
+def counted(df: DataFrame) -> tuple[DataFrame, Observation]:
+    """df, and an observation whose `get["rows"]` is the number of rows that the next action on it has read or written, without a second pass."""
+    seen = Observation()
+    return df.observe(seen, F.count(F.lit(1)).alias("rows")), seen
+
+
 COMPARE = {"eq": "__eq__", "ne": "__ne__", "lt": "__lt__", "le": "__le__", "gt": "__gt__", "ge": "__ge__"}
 
 
@@ -77,7 +88,7 @@ def product(x: np.ndarray) -> int:
 
 
 def numeric_product(df: DataFrame) -> DataFrame:
-    """One row, `product`: all int16, int32 and int64 cells multiplied modulo PRIME. Products of batches are multiplied in turn, one row a partition."""
+    """One row, `product`: all int16, int32 and int64 cells multiplied modulo PRIME. Every partition sends its product, one row, and these are multiplied in one task."""
     held = [f.name for f in df.schema if f.dataType.simpleString() in ("smallint", "int", "bigint")]
     numbers = df.select(*(F.col(f"`{c}`").cast("bigint").alias(f"c{i}") for i, c in enumerate(held)))
 
@@ -90,4 +101,4 @@ def numeric_product(df: DataFrame) -> DataFrame:
 
     if not held:
         return df.sparkSession.createDataFrame([(1,)], "product bigint")
-    return numbers.mapInArrow(run, "product bigint").coalesce(1).mapInArrow(run, "product bigint")
+    return numbers.mapInArrow(run, "product bigint").repartition(1).mapInArrow(run, "product bigint")

@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from colonnade import convert, storage, types
 from colonnade import schema as schemas
-from colonnade import storage, types
 from colonnade.functions import csvtext, values
 from colonnade.operators import batch, stats
 from colonnade.sources import csv_io, rowgroup_file, store
@@ -92,16 +93,21 @@ def csv_raw_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     return csv_io.to_lines(rows, raw_times=True)
 
 
+def in_key_order(rows: DataFrame) -> DataFrame:
+    """orders in the order of its keys, which count from 0, in several tasks whose rows make whole groups of 2048."""
+    return rows.repartitionByRange(F.floor(F.col("o_orderkey") / (4 * store.GROUP_ROWS))).sortWithinPartitions("o_orderkey")
+
+
 def ordered_store(spark: SparkSession, sf_dir: str) -> str:
-    """orders in one file in key order, in groups of 2048 rows."""
+    """orders in files of key ranges, in groups of 2048 rows."""
     path = storage.fresh_path(spark, "groups")
-    store.write(table(spark, sf_dir, "orders").coalesce(1).sortWithinPartitions("o_orderkey"), path, store.GROUP_ROWS)
+    store.write(in_key_order(table(spark, sf_dir, "orders")), path, store.GROUP_ROWS)
     return path
 
 
 @query("row_group_directory", "SELECT CAST(i AS INTEGER) AS group_no, 2048 * i AS row_offset, least(2048, n - 2048 * i) AS row_count FROM (SELECT n, unnest(range(0, CAST(ceil(n / 2048.0) AS BIGINT))) AS i FROM (SELECT count(*) AS n FROM orders))")
 def row_group_directory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return store.directory(spark, ordered_store(spark, sf_dir)).select("group_no", "row_offset", "row_count")
+    return store.numbered_directory(spark, ordered_store(spark, sf_dir)).select("group_no", "row_offset", "row_count")
 
 
 @query("row_group_totals", "SELECT CAST(ceil(count(*) / 2048.0) AS BIGINT) AS n_groups, count(*) AS n_rows FROM orders")
@@ -117,7 +123,7 @@ def row_group_read(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("iyx_group_read", f"SELECT {typed_sql('orders')} FROM orders ORDER BY o_orderkey LIMIT 2048 OFFSET 0")
 def iyx_group_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = storage.fresh_path(spark, "numbered")
-    rowgroup_file.write(typed(spark, sf_dir, "orders").coalesce(1).sortWithinPartitions("o_orderkey"), path)
+    rowgroup_file.write(in_key_order(typed(spark, sf_dir, "orders")), path)
     return rowgroup_file.read(spark, path, [0])
 
 
@@ -126,6 +132,66 @@ def iyx_pushdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rowgroup_file.roundtrip(typed(spark, sf_dir, "nation"), "pushdown").where("n_regionkey >= 2 and n_name != 'CHINA'").select("n_nationkey", "n_name")
 
 
+@query("iyx_columns", "SELECT o_orderpriority, o_orderkey FROM orders WHERE o_custkey < 500")
+def iyx_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three columns decoded of five, one of them for the comparison alone."""
+    path = storage.fresh_path(spark, "pruned")
+    rowgroup_file.write(typed(spark, sf_dir, "orders"), path)
+    return rowgroup_file.read(spark, path, columns=["o_orderpriority", "o_orderkey", "o_custkey"]).where("o_custkey < 500").select("o_orderpriority", "o_orderkey")
+
+
+@query("iyx_counts", "SELECT count(*) AS n_rows FROM lineitem")
+def iyx_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the writer says that it has written."""
+    made = rowgroup_file.write(typed(spark, sf_dir, "lineitem"), storage.fresh_path(spark, "counted"))
+    return spark.createDataFrame([(made.rows,)], "n_rows bigint")
+
+
+# Conversions.
+def _as_csv(spark: SparkSession, sf_dir: str, name: str) -> str:
+    """A folder with the table as data and schema.csv."""
+    path = storage.fresh_path(spark, f"{name}-csv")
+    csv_io.write(typed(spark, sf_dir, name), f"{path}/data")
+    schemas.save(spark, typed(spark, sf_dir, name).schema, f"{path}/schema.csv")
+    return path
+
+
+for _t, _suffix in (("orders", ".iyx"), ("part", ".iyx"), ("orders", ""), ("part", "")):
+
+    @query(f"convert_import_{_t}" + ("_store" if not _suffix else ""), f"SELECT {typed_sql(_t)} FROM {_t}")
+    def convert_import(spark: SparkSession, sf_dir: str, t: str = _t, suffix: str = _suffix) -> DataFrame:
+        path = _as_csv(spark, sf_dir, t)
+        convert.import_csv(spark, f"{path}/schema.csv", f"{path}/data", f"{path}/table{suffix}")
+        return convert.open_table(spark, f"{path}/table{suffix}")
+
+    @query(f"convert_export_{_t}" + ("_store" if not _suffix else ""), f"SELECT {typed_sql(_t)} FROM {_t}")
+    def convert_export(spark: SparkSession, sf_dir: str, t: str = _t, suffix: str = _suffix) -> DataFrame:
+        path = storage.fresh_path(spark, f"{t}-out")
+        (rowgroup_file if suffix else store).write(typed(spark, sf_dir, t), f"{path}/table{suffix}")
+        convert.export_csv(spark, f"{path}/table{suffix}", f"{path}/data", f"{path}/schema.csv")
+        return csv_io.read(spark, f"{path}/data", schemas.load(spark, f"{path}/schema.csv"))
+
+
+@query("convert_counts", " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS imported, count(*) AS exported FROM {t}" for t in ("nation", "customer", "lineitem")))
+def convert_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows that both converters count as they write them."""
+    rows = []
+    for t in ("nation", "customer", "lineitem"):
+        path = _as_csv(spark, sf_dir, t)
+        n = convert.import_csv(spark, f"{path}/schema.csv", f"{path}/data", f"{path}/table")
+        rows.append((t, n, convert.export_csv(spark, f"{path}/table", f"{path}/again", f"{path}/again.csv")))
+    return spark.createDataFrame(rows, "name string, imported bigint, exported bigint")
+
+
+@query("reader_counts", "SELECT 'orders' AS name, count(*) AS n_rows, 5 AS n_columns FROM orders")
+def reader_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a CSV reader has read: rows seen by the action itself, and the schema's columns."""
+    path = _as_csv(spark, sf_dir, "orders")
+    rows, seen = batch.counted(csv_io.read(spark, f"{path}/data", schemas.load(spark, f"{path}/schema.csv")))
+    rows.write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame([("orders", seen.get["rows"], schemas.count(rows.schema))], "name string, n_rows bigint, n_columns int")
+
+
 # CSV text.
 ESCAPED = "CASE WHEN regexp_matches({c}, '[,\"\n\r]') THEN '\"' || replace({c}, '\"', '\"\"') || '\"' ELSE {c} END"
 
@@ -234,6 +300,24 @@ def schema_find(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(n, schemas.find(schema, n)) for n in ("o_custkey", "O_CUSTKEY", "missing", "o_orderkey")], "name string, position int")
 
 
+def _schemas(spark: SparkSession, sf_dir: str) -> list[tuple[str, T.StructType]]:
+    nation = typed(spark, sf_dir, "nation").schema
+    twice = T.StructType([*nation.fields, nation.fields[0]])
+    return [("nation", nation), ("again", schemas.make(*((f.name, types.of_spark(f.dataType).name) for f in nation))), ("reversed", T.StructType(nation.fields[::-1])), ("empty", T.StructType()), ("twice", twice)]
+
+
+@query("schema_same", "SELECT a, b, a = b OR (a IN ('nation', 'again') AND b IN ('nation', 'again')) AS same FROM (VALUES ('nation'), ('again'), ('reversed'), ('empty'), ('twice')) AS x(a), (VALUES ('nation'), ('again'), ('reversed'), ('empty'), ('twice')) AS y(b)")
+def schema_same(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = _schemas(spark, sf_dir)
+    return spark.createDataFrame([(a, b, schemas.same(x, y)) for a, x in known for b, y in known], "a string, b string, same boolean")
+
+
+@query("schema_valid", "SELECT * FROM (VALUES ('nation', 3, true, 'n_nationkey'), ('again', 3, true, 'n_nationkey'), ('reversed', 3, true, 'n_regionkey'), ('empty', 0, false, NULL), ('twice', 4, false, 'n_nationkey')) AS t(name, n_columns, valid, first_column)")
+def schema_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [(n, schemas.count(x), schemas.valid(x), schemas.at(x, 0).name if schemas.count(x) else None) for n, x in _schemas(spark, sf_dir)]
+    return spark.createDataFrame(rows, "name string, n_columns int, valid boolean, first_column string")
+
+
 @query("type_table", "SELECT * FROM (VALUES " + ", ".join(f"({t.tag}, '{t.name}', {t.size}, {t.fixed})" for t in types.TYPES) + ") AS t(tag, name, size, fixed)")
 def type_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(t.tag, types.name_of(t.tag), types.by_name(t.name).size, t.fixed) for t in types.TYPES], "tag int, name string, size int, fixed boolean")
@@ -277,6 +361,23 @@ def row_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionAll, [table(spark, sf_dir, t).agg(F.count("*").alias("n")).select(F.lit(t).alias("name"), "n") for t in TABLES])
 
 
+@query("batch_state", " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) = 0 AS empty, count(*) >= 2048 AS is_full FROM {t}" for t in ("region", "orders", "lineitem")) + " UNION ALL SELECT 'cleared', true, false")
+def batch_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = {t: table(spark, sf_dir, t) for t in ("region", "orders", "lineitem")}
+    known["cleared"] = batch.clear(known["region"])
+    return spark.createDataFrame([(t, df.isEmpty(), batch.is_full(df, store.GROUP_ROWS)) for t, df in known.items()], "name string, empty boolean, is_full boolean")
+
+
+@query("from_uneven_columns", "SELECT 'columns of different lengths' AS error")
+def from_uneven_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    try:
+        batch.from_columns(spark, {"id": [1, 2], "name": ["a"]})
+        error = None
+    except ValueError as e:
+        error = str(e).split(":")[0]
+    return spark.createDataFrame([(error,)], "error string")
+
+
 @query("numeric_product", "SELECT list_reduce(list(x), lambda a, b: (a * b) % 1000000007) AS product FROM (SELECT unnest([o_orderkey + 1, o_custkey + 1]) % 1000000007 AS x FROM orders)")
 def numeric_product(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "orders").select((F.col("o_orderkey") + 1).alias("a"), (F.col("o_custkey") + 1).alias("b"), "o_orderstatus")
@@ -297,6 +398,13 @@ def stats_sql(name: str) -> str:
 for _t in COLUMNS:
     query(f"stats_{_t}", stats_sql(_t))(lambda s, d, t=_t: stats.column_stats(typed(s, d, t)))
 
+@query("stats_typed", "SELECT min(o_orderkey) AS low, max(o_orderkey) AS high, count(*) AS row_count, count(*) - count(o_orderkey) AS null_count, false AS may_be_less, true AS may_be_equal FROM orders")
+def stats_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = stats.TypedStatistics.of(typed(spark, sf_dir, "orders"), "o_orderkey")
+    row = (found.min_value, found.max_value, found.row_count, found.null_count, found.may_hold("lt", found.min_value), found.may_hold("eq", found.max_value))
+    return spark.createDataFrame([row], "low bigint, high bigint, row_count bigint, null_count bigint, may_be_less boolean, may_be_equal boolean")
+
+
 # Comparisons, which reach the scan.
 for _op, _sign in (("eq", "="), ("ne", "<>"), ("lt", "<"), ("le", "<="), ("gt", ">"), ("ge", ">=")):
     query(f"pred_{_op}", f"SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_partkey {_sign} 100")(lambda s, d, op=_op: batch.compare(table(s, d, "lineitem"), "l_partkey", op, 100).select("l_orderkey", "l_linenumber", "l_partkey"))

@@ -7,6 +7,11 @@ Splitting is row-local: no shuffle, and large files are read in splits. Rows can
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -65,8 +70,22 @@ def roundtrip(df: DataFrame, name: str) -> DataFrame:
 def first_error(spark: SparkSession, path: str, schema: T.StructType) -> tuple[int, str] | None:
     """The first line, from 1, that does not have the schema's number of fields or closed quotes, and the line; for a report after a failure."""
     lines = spark.read.option("lineSep", "\n").text(path)
-    numbered = lines.rdd.zipWithIndex().map(lambda x: (x[1] + 1, x[0].value)).toDF("number long, value string")
     closed = ~csvtext.unclosed(F.col("value"))
-    bad = numbered.where("value != ''").where(~closed | F.when(closed, F.size(csvtext.split(F.col("value"))) != len(schema)).otherwise(True))
-    row = bad.orderBy("number").first()
-    return (row.number, row.value) if row else None
+    wrong = (F.col("value") != "") & (~closed | F.when(closed, F.size(csvtext.split(F.col("value"))) != len(schema)).otherwise(True))
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row a partition: its lines, and the number and text of the first wrong one."""
+        seen, number, text = 0, None, None
+        for batch in batches:
+            if number is None and (at := pc.index(batch.column(0), True).as_py()) >= 0:
+                number, text = seen + at + 1, batch.column(1)[at].as_py()
+            seen += batch.num_rows
+        yield pa.record_batch([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([seen], pa.int64()), pa.array([number], pa.int64()), pa.array([text], pa.string())], names=["part", "lines", "number", "value"])
+
+    before = 0
+    checked = lines.select(wrong.alias("wrong"), F.when(wrong, F.col("value")).alias("value"))
+    for r in sorted(checked.mapInArrow(first, "part int, lines bigint, number bigint, value string").collect()):  # one row a partition
+        if r.number is not None:
+            return before + r.number, r.value
+        before += r.lines
+    return None

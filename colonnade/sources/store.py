@@ -6,6 +6,8 @@ groups go through footers, one task a file or group.
 
 from __future__ import annotations
 
+import bisect
+import itertools
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
@@ -63,16 +65,37 @@ def directory(spark: SparkSession, path: str) -> DataFrame:
     return _files(spark, path).mapInArrow(run, "file_no int, file string, group_no int, row_offset bigint, byte_offset bigint, byte_size bigint, row_count bigint")
 
 
+def files_before(spark: SparkSession, path: str) -> DataFrame:
+    """file_no with the groups (`groups_before`) and rows (`rows_before`) of all files before it; only a row a file comes to the driver."""
+    found = directory(spark, path).groupBy("file_no").agg(F.count("*").alias("n"), F.sum("row_count").alias("rows")).collect()
+    out, groups, rows = [], 0, 0
+    for r in sorted(found):
+        out.append((r.file_no, groups, rows))
+        groups, rows = groups + r.n, rows + r.rows
+    return spark.createDataFrame(out, "file_no int, groups_before bigint, rows_before bigint")
+
+
+def numbered_directory(spark: SparkSession, path: str) -> DataFrame:
+    """The directory with group_no and row_offset counted over all files."""
+    found = directory(spark, path).join(F.broadcast(files_before(spark, path)), "file_no")  # a row a file
+    return found.select("file", (F.col("groups_before") + F.col("group_no")).cast("int").alias("group_no"), (F.col("rows_before") + F.col("row_offset")).alias("row_offset"), "byte_offset", "byte_size", "row_count")
+
+
 def read_groups(spark: SparkSession, path: str, groups: Sequence[int], columns: Sequence[str] | None = None) -> DataFrame:
-    """The rows of some groups, numbered over all files from 0; only these groups and columns are read."""
-    found = directory(spark, path).select("file_no", "group_no", "file").orderBy("file_no", "group_no").collect()  # one row a group
+    """The rows of some groups, numbered over all files from 0; only these groups and columns are read, and only counts of a file's groups come to the driver."""
+    found = directory(spark, path).groupBy("file_no", "file").agg(F.count("*").alias("n")).collect()  # one row a file
+    files = sorted((r.file_no, r.file, r.n) for r in found)
+    ends = list(itertools.accumulate(n for _, _, n in files))
+    wanted = []
     for g in groups:
-        if not 0 <= g < len(found):
-            raise IndexError(f"row group {g} of {len(found)}")
+        if not 0 <= g < (ends[-1] if ends else 0):
+            raise IndexError(f"row group {g} of {ends[-1] if ends else 0}")
+        at = bisect.bisect_right(ends, g)
+        wanted.append((files[at][1], g - (ends[at - 1] if at else 0)))
     whole = read(spark, path)
     held = whole.select(*columns) if columns else whole
     arrow = to_arrow_schema(held.schema)
-    wanted = spark.createDataFrame([(found[g].file, found[g].group_no) for g in groups], "file string, group_no int").repartition(max(1, len(groups)))
+    places = spark.createDataFrame(wanted, "file string, group_no int").repartition(max(1, len(groups)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -80,7 +103,7 @@ def read_groups(spark: SparkSession, path: str, groups: Sequence[int], columns:
                 table = _open(row["file"]).read_row_group(row["group_no"], columns=arrow.names).select(arrow.names).cast(arrow)
                 yield from table.to_batches()
 
-    return wanted.mapInArrow(run, held.schema)
+    return places.mapInArrow(run, held.schema)
 
 
 def totals(spark: SparkSession, path: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import os
 import random
 import struct
 from datetime import date, datetime
@@ -271,3 +273,75 @@ def test_without_the_text_operators(tmp_path):
 
     code = "import sys\nsys.modules['colonnade.llm'] = None\nsys.modules['corpus_pipeline'] = None\nimport __spark_entry__ as e\nassert 'scan_orders' in e.queries() and not any(n.startswith('op') for n in e.queries())\nassert e.queries().keys() == e.oracle_sql().keys()"
     assert subprocess.run([sys.executable, "-c", code], check=False).returncode == 0
+
+
+def test_numeric_product_scans_in_many_tasks(spark):
+    rows = spark.range(0, 1000, 1, 8)
+    plan = batch.numeric_product(rows)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" in plan and "Coalesce" not in plan
+    assert batch.numeric_product(rows.where("id > 0").limit(20)).first()[0] == math.factorial(20) % batch.PRIME
+
+
+def test_small_groups_share_partitions(spark, tmp_path):
+    rows = spark.range(0, 20_000, 1, 2).selectExpr("id", "cast(id as string) name")
+    made = rowgroup_file.write(rows, str(tmp_path / "t"))
+    assert (made.files, made.groups, made.rows) == (2, 10, 20_000)
+    assert rowgroup_file.read(spark, str(tmp_path / "t")).rdd.getNumPartitions() == 2
+    split = rowgroup_file.register(spark) or spark.read.format("iyx").option("partitionBytes", "60000").load(str(tmp_path / "t"))
+    assert split.rdd.getNumPartitions() >= 5 and split.count() == 20_000
+    some = rowgroup_file.read(spark, str(tmp_path / "t"), columns=["name"])
+    assert some.columns == ["name"] and some.distinct().count() == 20_000
+
+
+def test_failed_overwrite_keeps_the_old_file_names_apart(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rowgroup_file.write(spark.range(10), path)
+    with pytest.raises(Exception, match="NULL|null"):
+        rowgroup_file.write(spark.range(10).selectExpr("if(id = 5, null, id) id"), path)
+    assert rowgroup_file.read(spark, path).count() == 10
+    rowgroup_file.write(spark.range(7), path)
+    assert rowgroup_file.read(spark, path).count() == 7 and not [x for x in os.listdir(path) if x.startswith(".") and not x.endswith(".crc")]
+
+
+def test_files_of_other_stores_are_written_by_a_copy(tmp_path):
+    import pyarrow.fs as pafs
+
+    batch_ = pa.record_batch([pa.array(range(5000)), pa.array([f"é{i}" for i in range(5000)])], names=["a", "b"])
+    both = []
+    for fs in (pafs.LocalFileSystem(), pafs.SubTreeFileSystem(str(tmp_path), pafs.LocalFileSystem())):
+        path = str(tmp_path / "x.iyx") if isinstance(fs, pafs.LocalFileSystem) else "y.iyx"
+        out = rowgroup_file.FileWriter(path, fs, schema.make(("a", "int64"), ("b", "string")))
+        out.add(batch_)
+        out.end()
+        both.append((tmp_path / path).read_bytes())
+    assert both[0] == both[1] and sorted(os.listdir(tmp_path)) == ["x.iyx", "y.iyx"]
+
+
+def test_first_error_numbers_lines(spark, tmp_path):
+    (tmp_path / "d.csv").write_text("".join(f"{i},a\n" for i in range(5000)) + "\nx,y,z\n1,\"b\n")
+    assert csv_io.first_error(spark, str(tmp_path / "d.csv"), schema.make(("a", "int32"), ("b", "string"))) == (5002, "x,y,z")
+    (tmp_path / "e.csv").write_text("1,a\n")
+    assert csv_io.first_error(spark, str(tmp_path / "e.csv"), schema.make(("a", "int32"), ("b", "string"))) is None
+
+
+def test_typed_statistics_skip(spark):
+    found = stats.TypedStatistics.of(spark.createDataFrame([(3, None), (9, None)], "a int, b string"), "a")
+    expected = {("eq", 3): True, ("eq", 2): False, ("ne", 5): True, ("lt", 3): False, ("le", 3): True, ("gt", 9): False, ("ge", 9): True, ("eq", None): False}
+    assert {k: found.may_hold(*k) for k in expected} == expected
+    assert not stats.TypedStatistics.of(spark.createDataFrame([(3, None)], "a int, b string"), "b").may_hold("eq", "x")
+
+
+def test_statistics_read_one_column_each(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/nation.parquet").select("n_name", "n_regionkey")
+    exact, sketch = ({r["column"]: r for r in stats.column_stats(df, e).collect()} for e in (True, False))
+    assert exact == sketch and "Expand" not in stats.column_stats(df)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_shared_folder_must_be_named_on_a_cluster():
+    from types import SimpleNamespace
+
+    from colonnade import storage
+
+    unset = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master="spark://x:7077", getConf=lambda: {}))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        storage.shared_dir(unset)
