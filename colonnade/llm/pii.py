@@ -128,6 +128,12 @@ def find_pii(docs: DataFrame) -> DataFrame:
     return both.select("doc_id", order.alias("spans"))
 
 
+def base_digest(docs: DataFrame) -> DataFrame:
+    """The counts of base spans alone."""
+    count = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
+    return base_spans(docs).select("doc_id", *map(count, KINDS))
+
+
 def digest(docs: DataFrame) -> DataFrame:
     """The contract's columns of find_pii()."""
     joined = lambda col: F.array_join(F.transform(col, lambda x: F.concat_ws(":", x["kind"], x["s"], x["e"])), ",")

@@ -211,6 +211,12 @@ def digest(docs: DataFrame) -> DataFrame:
     return judge(rows).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "n_loud", "distance")
 
 
+def base_digest(docs: DataFrame) -> DataFrame:
+    """The counts and the base rule alone."""
+    stats = statistics(text_of(docs, "doc_id", "text"), "doc_id")
+    return stats.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"))
+
+
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents, all columns, that are kept; repeated rows stay or go together, null texts go, since they have no words. Each row is
     written beside its statistics, so that its verdict needs no join with it."""

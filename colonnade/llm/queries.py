@@ -27,6 +27,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_tokens": lambda s, d: token_binary.digest(documents(s, d)),
         "op9_lm_score": lambda s, d: lm_score.digest(documents(s, d)),
         "op10_toxicity": lambda s, d: toxicity.digest(documents(s, d), labels(s, d)),
+        # the columns of operators 1, 2 and 4 that SQL can express
+        "base_secrets": lambda s, d: secrets.digest(documents(s, d)).select("doc_id", "n_assign", "n_access", "n_hex"),
+        "base_quality": lambda s, d: quality.base_digest(documents(s, d)),
+        "base_pii": lambda s, d: pii.base_digest(documents(s, d)),
     }
 
 
@@ -78,5 +82,42 @@ SELECT doc_id, class_id, count(*) OVER (PARTITION BY class_id) AS class_size, ro
 """
 
 
+NAMES = "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_?key"))
+BASE_SECRETS_SQL = rf"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+SELECT doc_id,
+  len(list_filter(regexp_extract_all(t, '(?:{NAMES})["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1), lambda x: length(x) >= 6)) AS n_assign,
+  len(list_filter(regexp_extract_all(t, 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 20)) AS n_access,
+  len(list_filter(regexp_extract_all(t, '[0-9a-f]+'), lambda x: length(x) >= 24)) AS n_hex
+FROM texts
+"""
+
+BASE_QUALITY_SQL = r"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER () AS r FROM documents),
+words AS (
+  SELECT r, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM texts),
+windows AS (SELECT r, i, w[i + 1 : i + 3] AS g FROM (SELECT r, w, unnest(range(0, len(w) - 2)) AS i FROM words WHERE len(w) > 2)),
+twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM windows) WHERE n > 1),
+hits AS (SELECT r, count(DISTINCT k) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS k FROM twice) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+  CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
+  CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words, len(w) < 50 OR 100 * coalesce(n, 0) > 50 * len(w) AS base_failed
+FROM words LEFT JOIN hits USING (r)
+"""
+
+BASE_PII_SQL = r"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+found AS (
+  SELECT doc_id, len(regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+')) AS n_email,
+    len(list_filter(regexp_extract_all(t, '[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+'), lambda x: len(list_filter(string_split(x, '.'), lambda y: length(ltrim(y, '0')) > 3 OR coalesce(try_cast(y AS INTEGER), 0) > 255)) = 0)) AS n_ip,
+    list_filter(list_transform(regexp_extract_all(t, '[0-9](?:[\x20-]?[0-9])+'), lambda x: regexp_replace(x, '[^0-9]', '', 'g')), lambda d: length(d) BETWEEN 13 AND 19) AS cards,
+    len(list_filter(regexp_extract_all(t, '\+[0-9][\x20().0-9-]+[0-9]'), lambda x: length(regexp_replace(x, '[^0-9]', '', 'g')) BETWEEN 9 AND 15)) AS n_phone
+  FROM texts)
+SELECT doc_id, n_email, n_ip, len(list_filter(cards, lambda d: list_sum(list_transform(range(length(d)), lambda k: list_extract([0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 0, 2, 4, 6, 8, 1, 3, 5, 7, 9], CAST(10 * (k % 2) + CAST(substr(d, CAST(length(d) - k AS BIGINT), 1) AS INTEGER) + 1 AS BIGINT)))) % 10 = 0)) AS n_card, n_phone
+FROM found
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontaminate": OP3_SQL, "op7_near_dup": OP7_SQL}
+    return {"op3_decontaminate": OP3_SQL, "op7_near_dup": OP7_SQL, "base_secrets": BASE_SECRETS_SQL, "base_quality": BASE_QUALITY_SQL, "base_pii": BASE_PII_SQL}

@@ -77,6 +77,11 @@ def test_odd_rows(spark, name):
     assert DIGESTS[name](df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("name", [n for n in queries.oracle_sql() if n.startswith("base_")])
+def test_base_columns_match_sql(spark, name):
+    oracle.check(oracle.connect(MEDIUM), queries.queries()[name](spark, MEDIUM), queries.oracle_sql()[name])
+
+
 # 1 ------------------------------------------------------------------------------------------------------------------
 
 
