@@ -220,9 +220,9 @@ def similar_sizes(n, m) -> F.Column:
     return 10 * F.least(n, m) >= 8 * F.greatest(n, m)
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, left: list[DataFrame] | None = None) -> DataFrame:
     """row, doc_id, mark_a, mark_b, class_id, class_size, kept and has_words of every row. Tables that many rows of one key meet are
-    written before the join, so that Spark can split the key's rows among tasks."""
+    written before the join, so that Spark can split the key's rows among tasks. left gets the tables that the result still reads."""
     rows = materialize(signatures(docs), "signatures")
     full = rows.where("key is not null")
     names = materialize(full.groupBy("key").agg(F.min("row").alias("node")), "nodes")  # a node is a bag's first row
@@ -242,15 +242,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     pairs = crowd.join(pivots, "bucket").where((F.col("node") != F.col("p.node")) & similar_sizes(F.col("n"), F.col("p.n")))
     pairs = materialize(pairs.select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct(), "pairs")
     parts = components(materialize(linked(pairs, sets), "links"))
+    discard(pairs)
     labels = materialize(inside.select("node").join(parts, "node", "left").select("node", F.coalesce("comp", "node").alias("comp")), "labels")
     # then all nodes that still share a bucket with another component
     placed = materialize(crowd.select("bucket", "node").join(labels, "node"), "placed")
     discard(crowd)
+    discard(inside)
     mixed = materialize(placed.groupBy("bucket").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 < c2").select("bucket"), "mixed")
     rest = materialize(placed.join(mixed, "bucket").select("node", "comp").distinct(), "rest")
-    tokens = prefixes(materialize(sets.join(rest, "node"), "rest_bags"))
+    rest_bags = materialize(sets.join(rest, "node"), "rest_bags")
+    tokens = prefixes(rest_bags)
+    discard(rest_bags)
     met = materialize(tokens.groupBy("token").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 < c2").select("token"), "met")
-    tokens = materialize(tokens.join(met, "token"), "met_tokens")
+    tokens, whole = materialize(tokens.join(met, "token"), "met_tokens"), tokens
+    discard(whole)
     x, y = (tokens.select("token", *(F.col(c).alias(c + i) for c in ("node", "comp", "n", "place"))) for i in "12")
     most = F.least(F.col("n1") - F.col("place1"), F.col("n2") - F.col("place2"))  # can be shared from the first shared one on
     close = (F.col("node1") < F.col("node2")) & (F.col("comp1") != F.col("comp2")) & similar_sizes(F.col("n1"), F.col("n2")) & (9 * most >= 4 * (F.col("n1") + F.col("n2")))
@@ -258,13 +263,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     between = linked(pairs, sets).select(F.least("comp1", "comp2").alias("a"), F.greatest("comp1", "comp2").alias("b")).distinct()
     parts = materialize(components(materialize(between, "links")).select(F.col("node").alias("a"), F.col("comp").alias("to")), "parts")
     labels = materialize(follow(labels, parts, "comp"), "labels")
+    for done in (sets, tokens, pairs, sizes, nodes):
+        discard(done)
     # from nodes to rows
     named = materialize(names.join(labels, "node", "left").select("key", F.coalesce("comp", "node").alias("comp")), "names")
     placed = materialize(full.select("row", "doc_id", "mark_a", "mark_b", "key").join(named, "key").drop("key"), "placed")
+    wordless = materialize(rows.where("key is null").select("row", "doc_id", "mark_a", "mark_b"), "wordless")
+    discard(rows)
     order = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "mark_a", "mark_b", "row")
     first = materialize(placed.groupBy("comp").agg(F.min(order).alias("first"), F.count("*").alias("class_size")), "classes")
     out = placed.join(first, "comp").select("row", "doc_id", "mark_a", "mark_b", F.col("first.doc_id").alias("class_id"), "class_size", (F.col("row") == F.col("first.row")).alias("kept"), F.lit(True).alias("has_words"))
-    alone = rows.where("key is null").select("row", "doc_id", "mark_a", "mark_b", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept"), F.lit(False).alias("has_words"))
+    if left is not None:
+        left += [placed, first, wordless]
+    alone = wordless.select("row", "doc_id", "mark_a", "mark_b", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept"), F.lit(False).alias("has_words"))
     return out.unionAll(alone)
 
 
@@ -277,8 +288,11 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """The documents, all columns, with one row of each class: the least doc_id's (null last); of several rows of that doc_id, the one whose
     text and then whose other columns have the least hash. Rows without a word all stay."""
     a, b, c, d, held = (fresh_name(docs.columns, x) for x in ("mark_1", "mark_2", "found_1", "found_2", "row_of"))
-    verdicts = near_duplicates(docs).groupBy("mark_a", "mark_b").agg(F.max("kept").alias("kept"), F.max("has_words").alias("has_words"), F.count("*").alias("n"))
+    left: list[DataFrame] = []
+    verdicts = near_duplicates(docs, left).groupBy("mark_a", "mark_b").agg(F.max("kept").alias("kept"), F.max("has_words").alias("has_words"), F.count("*").alias("n"))
     verdicts = materialize(verdicts.where("not kept or has_words and n > 1").select(F.col("mark_a").alias(c), F.col("mark_b").alias(d), "kept"), "verdicts")
+    for done in left:
+        discard(done)
     mark_a, mark_b = row_marks(docs, "doc_id", "text")
     marked, same = docs.withColumns({a: mark_a, b: mark_b}), (F.col(a) == F.col(c)) & (F.col(b) == F.col(d))
     columns = lambda df: [df[f"`{x}`"] for x in docs.columns]
