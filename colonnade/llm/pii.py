@@ -47,14 +47,20 @@ def quoted(text: str) -> str:
 
 
 def marked(pattern: str, also: str = "") -> str:
-    """SQL for array<struct<s, m, ...>> of the matches of pattern in _t: start, text, and further fields over i, p (the pieces)."""
+    """SQL for array<struct<s, m, ...>> of the matches of pattern in _t: start, text, and further fields over i, p (the pieces).
+
+    A start is the sum of the lengths of the pieces before it: of whole blocks of blocks (r), of the blocks before it in its own (q) and of the
+    pieces before it in its block (n), so the work for a match does not grow with the number of matches."""
     add = "(a, x) -> a + x"
     pieces = f"split(regexp_replace(_t, {quoted(pattern)}, '{MARK}$0{MARK}'), '{MARK}', -1)"
-    blocks = f"transform(sequence(0, (size(n) - 1) div {STRIDE}), b -> aggregate(slice(n, b * {STRIDE} + 1, {STRIDE}), 0, {add}))"
-    prefix = f"transform(sequence(0, size(q) - 1), j -> aggregate(slice(q, 1, j), 0, {add}))"
-    start = f"r[i div {STRIDE}] + aggregate(slice(n, (i div {STRIDE}) * {STRIDE} + 1, i % {STRIDE}), 0, {add})"
+    sums = lambda of: f"transform(sequence(0, (size({of}) - 1) div {STRIDE}), b -> aggregate(slice({of}, b * {STRIDE} + 1, {STRIDE}), 0, {add}))"
+    prefix = f"transform(sequence(0, size(w) - 1), j -> aggregate(slice(w, 1, j), 0, {add}))"
+    upto = lambda of, at: f"aggregate(slice({of}, ({at} div {STRIDE}) * {STRIDE} + 1, {at} % {STRIDE}), 0, {add})"
+    start = f"r[i div {STRIDE * STRIDE}] + {upto('q', f'(i div {STRIDE})')} + {upto('n', 'i')}"
     spans = f"transform(sequence(1, size(p) - 2, 2), i -> named_struct('s', {start}, 'm', p[i]{also}))"
-    let = f"transform(array(transform(p, x -> length(x))), n -> transform(array({blocks}), q -> transform(array({prefix}), r -> {spans})[0])[0])[0]"
+    let = spans
+    for name, made in (("r", prefix), ("w", sums("q")), ("q", sums("n")), ("n", "transform(p, x -> length(x))")):
+        let = f"transform(array({made}), {name} -> {let})[0]"
     return f"transform(array({pieces}), p -> if(size(p) < 3, null, {let}))[0]"
 
 
