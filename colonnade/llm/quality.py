@@ -64,11 +64,11 @@ CONSISTENCY = SHARE / chi_square(chi_square_quantile(SHARE, len(DIMS)), len(DIMS
 def statistics(docs: DataFrame, *keep: str) -> DataFrame:
     """The columns keep, then n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_loud, n_lines of the column text."""
     t = F.coalesce("text", F.lit(""))
-    base = docs.select(*keep, F.regexp_extract_all(t, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)).alias("_w"), t.alias("_t"))
+    base = docs.select(*keep, F.array_remove(F.split(t, SPACES), "").alias("_w"), t.alias("_t"))
     lines = "filter(split(_t, '\n', -1), x -> x rlike '[^\\\\x20\\\\x09-\\\\x0D]')"
     one = base.select(
         *keep, F.size("_w").cast("long").alias("n_words"), F.transform("_w", lambda x: F.xxhash64(x)).alias("_h"),
-        F.length(F.regexp_replace("_t", SPACES, "")).cast("long").alias("word_chars"), F.length(F.regexp_replace("_t", SYMBOLS, "")).cast("long").alias("n_symbols"),
+        F.length(F.array_join("_w", "")).cast("long").alias("word_chars"), F.length(F.regexp_replace("_t", SYMBOLS, "")).cast("long").alias("n_symbols"),
         F.length(F.regexp_replace("_t", "[^A-Z!?]+", "")).cast("long").alias("n_loud"), F.expr(lines).alias("_l"),
     )
     side = ["word_chars", "n_symbols", "n_loud", F.size("_l").cast("long").alias("n_lines"), (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines")]
@@ -125,13 +125,13 @@ def inverse(est: DataFrame) -> DataFrame:
     """est with the inverse l00.. of the lower Cholesky factor of the ridged scatter, and its log determinant."""
     keep = [c for c in est.columns if c not in SCATTER]
     held = est.select(*keep, *SCATTER, *((F.col(f"s{i}{j}") + (RIDGE[i] if i == j else 0.0)).alias(f"r{i}{j}") for i, j in PAIRS))
-    for i in range(5):  # factor
-        for j in range(i + 1):
-            rest = reduce(lambda a, k: a - F.col(f"c{i}{k}") * F.col(f"c{j}{k}"), range(j), F.col(f"r{i}{j}"))  # noqa: B023
-            held = held.withColumn(f"c{i}{j}", F.sqrt(F.greatest(rest, F.lit(RIDGE[i] / 16))) if i == j else rest / F.col(f"c{j}{j}"))
-    for i in range(5):  # invert the factor
-        for j in range(i + 1):
-            held = held.withColumn(f"l{i}{j}", 1 / F.col(f"c{i}{i}") if i == j else -reduce(lambda a, b: a + b, [F.col(f"c{i}{k}") * F.col(f"l{k}{j}") for k in range(j, i)]) / F.col(f"c{i}{i}"))  # noqa: B023
+    for j in range(5):  # factor, a column at a time
+        less = lambda i: reduce(lambda a, k: a - F.col(f"c{i}{k}") * F.col(f"c{j}{k}"), range(j), F.col(f"r{i}{j}"))  # noqa: B023
+        held = held.withColumn(f"c{j}{j}", F.sqrt(F.greatest(less(j), F.lit(RIDGE[j] / 16))))
+        held = held.withColumns({f"c{i}{j}": less(i) / F.col(f"c{j}{j}") for i in range(j + 1, 5)}) if j < 4 else held
+    for i in range(5):  # invert the factor, a row at a time
+        inner = lambda j: reduce(lambda a, b: a + b, [F.col(f"c{i}{k}") * F.col(f"l{k}{j}") for k in range(j, i)])  # noqa: B023
+        held = held.withColumns({f"l{i}{j}": 1 / F.col(f"c{i}{i}") if i == j else -inner(j) / F.col(f"c{i}{i}") for j in range(i + 1)})
     logdet = reduce(lambda a, b: a + b, [2 * F.log(f"c{i}{i}") for i in range(5)])
     return held.select(*keep, *SCATTER, *(f"l{i}{j}" for i, j in PAIRS), logdet.alias("logdet"))
 
@@ -142,11 +142,11 @@ def distance() -> F.Column:
     return reduce(lambda a, b: a + b, [p * p for p in parts])
 
 
-def meet(rows: DataFrame, group: str, est: DataFrame) -> DataFrame:
-    """rows joined with the estimates (gid, ...) of their group. A few estimates are broadcast; more meet the rows in a join in which
+def meet(rows: DataFrame, group: str, est: DataFrame, few: bool) -> DataFrame:
+    """rows joined with the estimates (gid, ...) of their group. A few estimates (MAX_BROADCAST at most) are broadcast; more meet the rows in a join in which
     each group is split into SALTS parts, so that a group of any size is spread out."""
     est = est.withColumnRenamed("gid", "_gid")
-    if est.count() <= MAX_BROADCAST:
+    if few:
         return rows.join(F.broadcast(est), rows[group] == est["_gid"]).drop("_gid")
     some = rows.withColumn("_salt", F.pmod(F.xxhash64(*DIMS), F.lit(SALTS)))
     each = est.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
@@ -168,9 +168,9 @@ def estimates(rows: DataFrame) -> DataFrame:
 
     Each start ends by itself, when a step does not lower its determinant any more, and takes no part in further steps."""
     est = materialize(inverse(starts(rows)).withColumn("falls", F.lit(True)), "estimates")
-    fields = [c for c in est.columns if c not in KEYS]
+    fields, few = [c for c in est.columns if c not in KEYS], est.count() <= MAX_BROADCAST
     for step in range(STEPS):
-        held = meet(rows, "gid", est.where("falls").drop("n", *SCATTER, "logdet", "falls"))
+        held = meet(rows, "gid", est.where("falls").drop("n", *SCATTER, "logdet", "falls"), few)
         new = inverse(trimmed_moments(held.select(*KEYS, *DIMS, distance().alias("d")), F.col("d"), SHARE)).withColumn("falls", F.lit(True))
         if step:
             found = new.select(*KEYS, F.struct(*(F.col(c) for c in fields)).alias("new"))
@@ -200,7 +200,7 @@ def judge(rows: DataFrame) -> DataFrame:
     of = lambda low, up: est.join(tree.select(F.col(low).alias("gid"), F.col(up).alias("up")).distinct(), "gid")
     languages = shrunk(of("g1", "g0"), est)
     final = materialize(inverse(shrunk(of("g2", "g1"), languages)).drop("n", *SCATTER, "logdet"), "final")
-    known = meet(rows.where("not base_failed"), "g2", final).select(*(rows[c] for c in rows.columns), distance().alias("distance"))
+    known = meet(rows.where("not base_failed"), "g2", final, final.count() <= MAX_BROADCAST).select(*(rows[c] for c in rows.columns), distance().alias("distance"))
     failed = rows.where("base_failed").select("*", F.lit(None).cast("double").alias("distance"))
     return known.unionAll(failed).withColumn("kept", ~F.col("base_failed") & (F.col("distance") <= LIMIT)).withColumn("kept", F.coalesce("kept", F.lit(False)))
 
